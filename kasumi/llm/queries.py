@@ -5,10 +5,16 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from kasumi.llm import bpe_prefix, packing
+from kasumi.llm import bpe_prefix, packing, simhash
 from kasumi.llm.common import table
 
 
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's fingerprint and the component that links of at most 2 bits make."""
+    found = simhash.near_components(simhash.fingerprints(table(spark, sf_dir, "documents"), width=3), limit=2)
+    return found.select("doc_id", simhash.hexed("s0").alias("fingerprint"), "component_id")
+
+
 def op4_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document in sequences of at most 1024 tokens."""
     path = public_tokenizers.path
@@ -20,7 +26,7 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_prefix.digests(bpe_prefix.encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")))
 
 
-QUERIES = {"op4_best_fit": op4_best_fit, "op9_bpe": op9_bpe}
+QUERIES = {"op3_simhash": op3_simhash, "op4_best_fit": op4_best_fit, "op9_bpe": op9_bpe}
 
 #: Tokenizers and order-dependent packing are beyond SQL; the tests hold these queries against plain Python.
 ORACLES: dict[str, str] = {}
