@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from kasumi.llm import bpe_prefix, packing, simhash
+from kasumi.llm import bpe_prefix, mixture_lid, ordinal, packing, simhash
 from kasumi.llm.common import table
 
 
@@ -21,12 +22,28 @@ def op4_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), path("byte_bpe_50k.json"), path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op8_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's language; a quarter of the ids is held out from learning."""
+    docs = table(spark, sf_dir, "documents")
+    model = mixture_lid.learn(docs, usable=~mixture_lid.held_out())
+    found = mixture_lid.predict(docs.select("doc_id", "text"), model, keep=["doc_id"])
+    return found.select("doc_id", mixture_lid.held_out().alias("held_out"), "lang_pred", "score", "languages")
+
+
+def op10_ordinal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's expected grade (0 toxic, 1 poor, 2 good), the probability of good, and whether it stays."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = ordinal.learn(docs, ordinal.grades(table(spark, sf_dir, "labels")), levels=3)
+    found = ordinal.predict(docs, model, keep=["doc_id"], reach=2)
+    return found.withColumn("kept", F.col("tail_probability") >= ordinal.KEEP)
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of every document's ids and of their decoded text."""
     return bpe_prefix.digests(bpe_prefix.encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")))
 
 
-QUERIES = {"op3_simhash": op3_simhash, "op4_best_fit": op4_best_fit, "op9_bpe": op9_bpe}
+QUERIES = {"op3_simhash": op3_simhash, "op4_best_fit": op4_best_fit, "op8_mixture": op8_mixture, "op9_bpe": op9_bpe, "op10_ordinal": op10_ordinal}
 
 #: Tokenizers and order-dependent packing are beyond SQL; the tests hold these queries against plain Python.
 ORACLES: dict[str, str] = {}
