@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kasumi.llm import bpe_prefix, cdc, mixture_lid, ordinal, packing, simhash
+from kasumi.llm import arc_warc, bpe_prefix, cdc, mixture_lid, ordinal, packing, simhash
 from kasumi.llm.common import table
 
 
@@ -22,6 +22,11 @@ def op4_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), path("byte_bpe_50k.json"), path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op6_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the WARC archives hold of every page."""
+    return arc_warc.archive(table(spark, sf_dir, "pages"))
+
+
 def op7_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's text without the passages that come before, and the spans cut out."""
     found = cdc.deduplicate(table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -49,7 +54,7 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_prefix.digests(bpe_prefix.encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")))
 
 
-QUERIES = {"op3_simhash": op3_simhash, "op4_best_fit": op4_best_fit, "op7_chunks": op7_chunks, "op8_mixture": op8_mixture, "op9_bpe": op9_bpe, "op10_ordinal": op10_ordinal}
+QUERIES = {"op3_simhash": op3_simhash, "op4_best_fit": op4_best_fit, "op6_archive": op6_archive, "op7_chunks": op7_chunks, "op8_mixture": op8_mixture, "op9_bpe": op9_bpe, "op10_ordinal": op10_ordinal}
 
 #: Tokenizers and order-dependent packing are beyond SQL; the tests hold these queries against plain Python.
 ORACLES: dict[str, str] = {}
