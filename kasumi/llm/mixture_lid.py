@@ -138,7 +138,7 @@ def learn(docs: DataFrame, *, usable: Column | None = None, id_col: str = "doc_i
     if not sizes:
         return Model.fit({})
     shares = F.create_map(*(F.lit(x) for lang, n in sizes.items() for x in (lang, min(1.0, rows / n))))
-    picked = known.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < F.element_at(shares, F.col("lang")) * (1 << 30)).select("lang", "text")
+    picked = known.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < F.element_at(shares, F.col("lang")) * (1 << 30)).select("lang", "text", "id")
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals: dict[str, np.ndarray] = {}
@@ -152,7 +152,7 @@ def learn(docs: DataFrame, *, usable: Column | None = None, id_col: str = "doc_i
             there = np.nonzero(total)[0]
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(there), pa.string()), pa.array(there), pa.array(total[there])], names=["lang", "bucket", "n"])
 
-    summed = picked.repartition(max(8, len(sizes)), F.xxhash64("text")).mapInArrow(counted, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
+    summed = picked.repartition(max(8, len(sizes)), F.xxhash64("id")).mapInArrow(counted, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
     counts = {lang: np.zeros(1 << bits, dtype=np.int64) for lang in sizes}
     langs = np.array(summed.column("lang").to_pylist(), dtype=object)
     buckets, n = summed.column("bucket").to_numpy(), summed.column("n").to_numpy()
