@@ -6,10 +6,15 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kasumi.llm import arc_warc, bpe_prefix, cdc, mixture_lid, ordinal, packing, simhash
+from kasumi.llm import arc_warc, bpe_prefix, cdc, html_text, mixture_lid, ordinal, packing, simhash
 from kasumi.llm.common import table
 
 
+def op2_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's visible text."""
+    return html_text.extract_pages(table(spark, sf_dir, "pages"))
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's fingerprint and the component that links of at most 2 bits make."""
     found = simhash.near_components(simhash.fingerprints(table(spark, sf_dir, "documents"), width=3), limit=2)
@@ -54,7 +59,7 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_prefix.digests(bpe_prefix.encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")))
 
 
-QUERIES = {"op3_simhash": op3_simhash, "op4_best_fit": op4_best_fit, "op6_archive": op6_archive, "op7_chunks": op7_chunks, "op8_mixture": op8_mixture, "op9_bpe": op9_bpe, "op10_ordinal": op10_ordinal}
+QUERIES = {"op2_html": op2_html, "op3_simhash": op3_simhash, "op4_best_fit": op4_best_fit, "op6_archive": op6_archive, "op7_chunks": op7_chunks, "op8_mixture": op8_mixture, "op9_bpe": op9_bpe, "op10_ordinal": op10_ordinal}
 
 #: Tokenizers and order-dependent packing are beyond SQL; the tests hold these queries against plain Python.
 ORACLES: dict[str, str] = {}
