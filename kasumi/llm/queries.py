@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kasumi.llm import arc_warc, bpe_prefix, cdc, html_text, maxscore, mixture_lid, ordinal, packing, simhash
+from kasumi.llm import arc_warc, bpe_prefix, cdc, cws, html_text, maxscore, mixture_lid, ordinal, packing, simhash
 from kasumi.llm.common import table
 
 
@@ -32,6 +32,11 @@ def op4_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), path("byte_bpe_50k.json"), path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op5_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's fingerprint and that of its edited text."""
+    return cws.fingerprint_edits(table(spark, sf_dir, "documents"))
+
+
 def op6_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the WARC archives hold of every page."""
     return arc_warc.archive(table(spark, sf_dir, "pages"))
@@ -64,7 +69,7 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_prefix.digests(bpe_prefix.encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")))
 
 
-QUERIES = {"op1_maxscore": op1_maxscore, "op2_html": op2_html, "op3_simhash": op3_simhash, "op4_best_fit": op4_best_fit, "op6_archive": op6_archive, "op7_chunks": op7_chunks, "op8_mixture": op8_mixture, "op9_bpe": op9_bpe, "op10_ordinal": op10_ordinal}
+QUERIES = {"op1_maxscore": op1_maxscore, "op2_html": op2_html, "op3_simhash": op3_simhash, "op4_best_fit": op4_best_fit, "op5_sampling": op5_sampling, "op6_archive": op6_archive, "op7_chunks": op7_chunks, "op8_mixture": op8_mixture, "op9_bpe": op9_bpe, "op10_ordinal": op10_ordinal}
 
 #: The others are beyond SQL (tokenizers, fitted models, hashes that DuckDB lacks, packing in order); the tests hold them against plain Python.
 ORACLES: dict[str, str] = {
