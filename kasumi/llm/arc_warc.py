@@ -9,9 +9,9 @@ archived, so that converting twice gives the same ones; timestamps, block digest
 and payload digests (SHA-1 in base 32) are made from the record.
 
 Archives are written and read by Spark through whatever file system the path
-names. A file is a row of blocks of compressed records, each a gzip member of its
-own; a member of no bytes stands between blocks. A block, and so what a task reads
-at once, has at most ``BLOCK_BYTES`` and one record.
+names. In a WARC file every record is a gzip member of its own, in an ARC file all
+are one. A file has one block, and so a task reads at most ``BLOCK_BYTES`` and one
+record at once.
 
 Nulls and edge cases: null or empty HTML is an empty payload; pages without an id
 keep a null one and are responses; rows that repeat an id with equal payloads are
@@ -57,8 +57,8 @@ class ArcRecord:
     block: bytes
 
 
-def member(raw: bytes) -> bytes:
-    packer = zlib.compressobj(1, zlib.DEFLATED, 31)
+def member(raw: bytes, level: int = 3) -> bytes:
+    packer = zlib.compressobj(level, zlib.DEFLATED, 31)
     return packer.compress(raw) + packer.flush()
 
 
@@ -173,14 +173,12 @@ def read_warc(data: bytes) -> Iterator[WarcRecord]:
         at = stop + 4 + length + 4
 
 
-def _blocks(parts: Iterator[bytes], begin: bytes = b"") -> Iterator[bytes]:
-    """Compressed records gathered to blocks."""
+def _blocks(parts: Iterator[bytes]) -> Iterator[bytes]:
+    """Parts gathered to blocks."""
     held, size = [], 0
     for part in parts:
-        if not held and begin:
-            held.append(member(begin))
-        held.append(member(part))
-        size += len(held[-1])
+        held.append(part)
+        size += len(part)
         if size >= BLOCK_BYTES:
             yield b"".join(held)
             held, size = [], 0
@@ -215,14 +213,14 @@ def write_arc(pages: DataFrame, path: str, *, id_col: str = "page_id", url_col:
                     head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=UTF-8\r\n{own}Content-Length: {len(payload)}\r\n\r\n"
                     yield arc_record(version, quote(url or "urn:unknown", safe="%/:=&?~#+!$,;'@()*[]-._"), head.encode() + payload)
 
-            for block in _blocks(records(), arc_version_block(version, f"pages-{version}.arc")):
-                yield _as_batch([block])
+            for block in _blocks(records()):  # an archive of its own, compressed in one
+                yield _as_batch([member(arc_version_block(version, f"pages-{version}.arc") + block, 1)])
 
     _write(pages.select(F.col(id_col).cast("long").alias("id"), url_col, payload_col).mapInArrow(written, "block binary"), path)
 
 
 def convert(spark: SparkSession, path: str) -> DataFrame:
-    """(record_id, page_id, payload_digest, payload_bytes, record): the WARC records that ARC archives become."""
+    """(record_id, page_id, payload_digest, payload_bytes, record): the WARC records that ARC archives become, each compressed as it is written."""
 
     def converted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -234,7 +232,7 @@ def convert(spark: SparkSession, path: str) -> DataFrame:
                         continue
                     header, payload = http_parts(warc.block)
                     own = http_field(header, ID_HEADER)
-                    rows.append((warc.headers["WARC-Record-ID"], None if own is None else int(own), warc.headers["WARC-Payload-Digest"].removeprefix("sha1:"), len(payload), bytes(warc)))
+                    rows.append((warc.headers["WARC-Record-ID"], None if own is None else int(own), warc.headers["WARC-Payload-Digest"].removeprefix("sha1:"), len(payload), member(bytes(warc))))
                     size += len(warc.block)
                     if size >= BLOCK_BYTES:
                         yield _converted(rows)
@@ -261,7 +259,7 @@ def write_warc(records: DataFrame, path: str, *, least_bytes: int = 0) -> None:
             for batch in batches:
                 for record, refers_to in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
                     raw = record.as_py()
-                    yield raw if refers_to is None else bytes(to_revisit(next(read_warc(raw)), refers_to))
+                    yield raw if refers_to is None else member(bytes(to_revisit(next(read_warc(raw)), refers_to)))
 
         for block in _blocks(parts()):
             yield _as_batch([block])
