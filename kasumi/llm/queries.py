@@ -22,7 +22,7 @@ def op2_html(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's fingerprint and the component that links of at most 2 bits make."""
-    found = simhash.near_components(simhash.fingerprints(table(spark, sf_dir, "documents"), width=3), limit=2)
+    found = simhash.near_components(simhash.fingerprints(table(spark, sf_dir, "documents"), width=3), radius=2)
     return found.select("doc_id", simhash.hexed("s0").alias("fingerprint"), "component_id")
 
 

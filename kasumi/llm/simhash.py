@@ -1,9 +1,8 @@
 """SimHash near-duplicates: vantage-point trees over fingerprints, shards with overlapping borders.
 
-A fingerprint has one or more lanes of 64 bits. Two link if they differ in at
-most ``limit`` bits. Some lane then differs in at most ``limit // lanes`` bits, so
-a search within that radius in every lane finds all pairs; the whole fingerprints
-then decide.
+A fingerprint has 64 bits, or several lanes of 64 bits. Two link if some lane
+differs in at most ``radius`` bits and, where a longer sketch is given, the
+sketches differ in at most ``limit`` bits.
 
 A vantage-point tree splits a lane: at a node, fingerprints with a distance of at
 most mu from the vantage point go left, the others right. By the triangle
@@ -20,6 +19,7 @@ spanning forest leaves a task.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -33,7 +33,7 @@ from kasumi.llm.common import shared_path, strings
 from kasumi.llm.components import connected
 
 #: Fingerprints the top of a tree is built from; rows a shard should have; rows a task takes at most.
-SAMPLE, SHARD_TARGET, SHARD_ROWS = 32_768, 8_192, 40_000
+SAMPLE, SHARD_TARGET, SHARD_ROWS = 32_768, 24_000, 100_000
 #: Rows that are compared with each other without further splitting.
 LEAF = 1_024
 SEED = 42
@@ -53,31 +53,63 @@ def shingles(text: str, width: int, repeats: bool = True) -> list[bytes]:
     return found if repeats else list(set(found))
 
 
-def fingerprint(found: list[bytes], lanes: int = 1) -> tuple[int, ...]:
-    """A bit is set if it is in over half of the hashes; lane k hashes with seed 42 + k."""
+def majority(hashes: np.ndarray) -> np.ndarray:
+    """Rows of 64-bit lanes as one row: a bit is set if it is in over half of them."""
+    n, lanes = hashes.shape
+    count = np.zeros(64 * lanes, dtype=np.int64)
+    for at in range(0, n, 4096):
+        raw = np.ascontiguousarray(hashes[at : at + 4096].astype(">u8")).view(np.uint8)
+        count += np.unpackbits(raw, axis=1).sum(axis=0, dtype=np.uint16)
+    return np.packbits(2 * count > n).view(">u8").astype(np.uint64)
+
+
+def fingerprint(found: list[bytes]) -> int:
+    """A bit is set if it is in over half of the shingles' XXH64; 0 without shingles."""
+    if not found:
+        return 0
+    digest = xxhash.xxh64_digest
+    return int(majority(np.frombuffer(b"".join([digest(x, SEED) for x in found]), ">u8")[:, None])[0])
+
+
+def sketch(found: list[bytes], lanes: int) -> np.ndarray:
+    """Several lanes from one XXH64 of each shingle, mixed anew for each lane."""
     if not found:
-        return (0,) * lanes
-    out = []
-    for lane in range(lanes):
-        digest, seed = xxhash.xxh64_digest, SEED + lane
-        count = np.zeros(64, dtype=np.int64)
-        for at in range(0, len(found), 4096):
-            raw = b"".join([digest(x, seed) for x in found[at : at + 4096]])
-            count += np.unpackbits(np.frombuffer(raw, np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-        out.append(int.from_bytes(np.packbits(2 * count > len(found)).tobytes(), "big"))
-    return tuple(out)
-
-
-def fingerprints(docs: DataFrame, *, width: int, lanes: int = 1, repeats: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, s0, s1, ...): every text's fingerprint, lanes as signed longs. A null or blank text has zero."""
-    names = [f"s{k}" for k in range(lanes)]
+        return np.zeros(lanes, np.uint64)
+    digest = xxhash.xxh64_digest
+    own = np.frombuffer(b"".join([digest(x, SEED) for x in found]), ">u8").astype(np.uint64)
+    own = own[:, None] + np.arange(1, lanes + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    own = (own ^ own >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+    own = (own ^ own >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+    return majority(own ^ own >> np.uint64(31))
+
+
+def fingerprints(docs: DataFrame, *, width: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, s0): the fingerprint of every text's shingles, repeats included, as a signed long. A null or blank text has zero."""
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            prints = np.array([fingerprint(shingles(x, width, repeats), lanes) for x in strings(batch, text_col)], dtype=np.uint64).reshape(-1, lanes)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(prints[:, k].view(np.int64) if lanes == 1 else np.ascontiguousarray(prints[:, k]).view(np.int64)) for k in range(lanes))], names=["doc_id", *names])
+            prints = np.array([fingerprint(shingles(x, width)) for x in strings(batch, text_col)], dtype=np.uint64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints.view(np.int64))], names=["doc_id", "s0"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_col).mapInArrow(made, ", ".join(["doc_id long", *(f"{s} long" for s in names)]))
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_col).mapInArrow(made, "doc_id long, s0 long")
+
+
+def sketches(docs: DataFrame, *, lanes: int, words: int, sketch_lanes: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, s0, ..., v0, ...): lanes of a text's distinct words, to find copies by, and of its distinct shingles, to judge them by."""
+    names = [*(f"s{k}" for k in range(lanes)), *(f"v{k}" for k in range(sketch_lanes))]
+
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [np.concatenate([sketch(shingles(x, 1, False), lanes), sketch(shingles(x, words, False), sketch_lanes)]) for x in strings(batch, text_col)]
+            wide = np.array(found, dtype=np.uint64).reshape(-1, len(names))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(np.ascontiguousarray(c).view(np.int64)) for c in wide.T)], names=["doc_id", *names])
+
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_col).mapInArrow(made, ", ".join(["doc_id long", *(f"{c} long" for c in names)]))
+
+
+def bits_apart(similarity: float, bits: int) -> int:
+    """How many bits of a sketch differ, as expected, between sets of equal size with that Jaccard similarity."""
+    return int(bits * math.acos(min(1.0, 2 * similarity / (1 + similarity))) / math.pi)
 
 
 @dataclass(frozen=True)
@@ -161,58 +193,59 @@ class Forest:
             self.label = label
 
 
-def join_local(prints: np.ndarray, lane: int, radius: int, limit: int) -> np.ndarray:
-    """Labels: the smallest row that each row is linked with, directly or through others of these rows."""
+def join_local(prints: np.ndarray, radius: int, wide: np.ndarray | None = None, limit: int = 0) -> np.ndarray:
+    """Labels: the smallest row that each row is linked with, directly or through others of these rows. ``wide`` has their sketches."""
     forest, rng = Forest(len(prints)), np.random.default_rng(SEED)
-    own = np.ascontiguousarray(prints[:, lane])
 
     def compare(rows: np.ndarray) -> None:
         step = max(1, 4_000_000 // len(rows))
         for at in range(0, len(rows), step):
             some, rest = rows[at : at + step], rows[at:]
-            near = np.bitwise_count(own[some][:, None] ^ own[rest][None, :]) <= radius
+            near = np.bitwise_count(prints[some][:, None] ^ prints[rest][None, :]) <= radius
             near &= forest.label[some][:, None] != forest.label[rest][None, :]
             a, b = np.nonzero(near)
             a, b = some[a], rest[b]
-            if prints.shape[1] > 1 and len(a):
-                close = np.bitwise_count(prints[a] ^ prints[b]).sum(axis=1, dtype=np.int64) <= limit
-                a, b = a[close], b[close]
-            forest.link(a, b)
+            if wide is None:
+                forest.link(a, b)
+                continue
+            for k in range(0, len(a), 500_000):
+                x, y = a[k : k + 500_000], b[k : k + 500_000]
+                close = np.bitwise_count(wide[x] ^ wide[y]).sum(axis=1, dtype=np.int64) <= limit
+                forest.link(x[close], y[close])
 
     stack = [np.arange(len(prints))]
     while stack:
         rows = stack.pop()
-        cut = border(own[rows], radius, rng) if len(rows) > LEAF else None
+        cut = border(prints[rows], radius, rng) if len(rows) > LEAF else None
         if cut is None:
             if len(rows) > 1:
                 compare(rows)
             continue
-        far = distance(own[rows], cut[0])
+        far = distance(prints[rows], cut[0])
         stack += [rows[far <= cut[1] + radius], rows[far > cut[1]]]
     return forest.label
 
 
-def _links(prints: DataFrame, lanes: int, lane: int, limit: int, total: int) -> DataFrame:
+def _links(prints: DataFrame, lane: str, radius: int, wide: list[str], limit: int, total: int) -> DataFrame:
     """(a, b): a spanning forest, in each shard, of the pairs that are near in this lane."""
-    names, radius = [f"s{k}" for k in range(lanes)], limit // lanes
-    picked = prints.select(names[lane]).orderBy(F.xxhash64(names[lane])).limit(SAMPLE).toArrow().column(0).to_numpy().astype(np.int64).view(np.uint64)
-    tree, leaves = build(picked, radius, total, SHARD_TARGET)
-    columns = ["rep", *names]
+    picked = prints.select(lane).orderBy(F.xxhash64(lane)).limit(SAMPLE).toArrow().column(0).to_numpy().astype(np.int64).view(np.uint64)
+    tree, _ = build(picked, radius, total, SHARD_TARGET)
+    columns = ["rep", lane, *wide]
     shape = ", ".join(["shard long", *(f"{c} long" for c in columns)])
 
     def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own = batch.column(1 + lane).to_numpy().view(np.uint64)
+            own = batch.column(1).to_numpy().view(np.uint64)
             for leaf, rows in route(tree, own, radius):
                 part = batch.take(pa.array(rows))
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), leaf, np.int64)), *part.columns], names=["shard", *columns])
 
     def joined(shard: pa.Table) -> pa.Table:
-        wide = np.column_stack([shard.column(s).to_numpy() for s in names]).astype(np.int64).view(np.uint64)
         rep = shard.column("rep").to_numpy()
         order = np.argsort(rep, kind="stable")  # so that a label is the row of the smallest id
-        label = join_local(wide[order], lane, radius, limit)
-        rep = rep[order]
+        rep, own = rep[order], shard.column(lane).to_numpy().astype(np.int64).view(np.uint64)[order]
+        sketched = np.column_stack([shard.column(c).to_numpy() for c in wide]).astype(np.int64).view(np.uint64)[order] if wide else None
+        label = join_local(own, radius, sketched, limit)
         linked = label != np.arange(len(label))
         return pa.table({"a": rep[linked], "b": rep[label[linked]]})
 
@@ -231,12 +264,13 @@ def _links(prints: DataFrame, lanes: int, lane: int, limit: int, total: int) ->
     return shards.groupBy("shard", "pair").applyInArrow(lambda table: joined(table), "a long, b long")
 
 
-def near_components(prints: DataFrame, lanes: int = 1, limit: int = 2) -> DataFrame:
-    """``fingerprints``' rows with component_id, the smallest doc_id that links lead to, itself included.
+def near_components(prints: DataFrame, *, radius: int = 2, limit: int = 0) -> DataFrame:
+    """The rows with component_id, the smallest doc_id that links lead to, itself included.
 
-    Rows without a doc_id keep a null component and link nothing; rows that repeat a doc_id are one node, and each comes back; an empty table gives no rows.
+    Columns s0, s1, ... are lanes; v0, v1, ..., if there are any, the sketch that ``limit`` holds for. Rows without a doc_id keep a null component and link nothing; rows that repeat a doc_id are one node, and each comes back; an empty table gives no rows.
     """
-    spark, names = prints.sparkSession, [f"s{k}" for k in range(lanes)]
+    spark, names = prints.sparkSession, [c for c in prints.columns if c != "doc_id"]
+    lanes, wide = [c for c in names if c[0] == "s"], [c for c in names if c[0] == "v"]
     path = shared_path(spark, "fingerprints")
     prints.write.parquet(f"{path}/all")
     prints = spark.read.parquet(f"{path}/all")
@@ -245,15 +279,25 @@ def near_components(prints: DataFrame, lanes: int = 1, limit: int = 2) -> DataFr
     total = distinct.count()
     if not total:
         return prints.withColumn("component_id", F.col("doc_id"))
-    links = _links(distinct, lanes, 0, limit, total)
-    for lane in range(1, lanes):
-        links = links.union(_links(distinct, lanes, lane, limit, total))
-    roots = connected(links, "a", "b")
+    links = [_links(distinct, lane, radius, wide, limit, total) for lane in lanes]
+    for more in links[1:]:
+        links[0] = links[0].union(more)
+    roots = connected(links[0], "a", "b")
     named = distinct.join(roots, distinct["rep"] == roots["node"], "left").select(*names, F.coalesce("root", "rep").alias("component_id"))
     found = prints.join(named, names, "left")
     return found.select("doc_id", *names, F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
 
 
+def keep_first(docs: DataFrame, *, lanes: int, radius: int, words: int, sketch_lanes: int, similarity: float, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of each group of near copies, that of the smallest id. Rows without an id stay."""
+    prints = sketches(docs, lanes=lanes, words=words, sketch_lanes=sketch_lanes, id_col=id_col, text_col=text_col)
+    found = near_components(prints, radius=radius, limit=bits_apart(similarity, 64 * sketch_lanes))
+    lost = found.where("component_id <> doc_id").select(F.col("doc_id").alias("__lost")).distinct()
+    kept = docs.join(lost, F.col(id_col).cast("long") == F.col("__lost"), "left_anti")
+    repeated = docs.groupBy(id_col).agg(F.count("*").alias("n")).where(F.col("n") > 1).where(F.col(id_col).isNotNull())
+    return kept if repeated.isEmpty() else kept.where(F.col(id_col).isNotNull()).dropDuplicates([id_col]).union(kept.where(F.col(id_col).isNull()))
+
+
 def hexed(lane: str) -> Column:
     """A signed long as 16 lower-case hexadecimal digits."""
     return F.lower(F.lpad(F.hex(lane), 16, "0"))
