@@ -35,7 +35,9 @@ from kasumi.llm.components import connected
 #: Fingerprints the top of a tree is built from; rows a shard should have; rows a task takes at most.
 SAMPLE, SHARD_TARGET, SHARD_ROWS = 32_768, 24_000, 100_000
 #: Rows that are compared with each other without further splitting.
-LEAF = 1_024
+LEAF = 256
+#: The share of pairs that a split may leave: to deal rows out by it, and to split within a task.
+WORTH_DEALING, WORTH_SPLITTING = 0.75, 0.93
 SEED = 42
 
 
@@ -127,9 +129,9 @@ def distance(prints: np.ndarray, point: int) -> np.ndarray:
     return np.bitwise_count(prints ^ np.uint64(point))
 
 
-def border(prints: np.ndarray, radius: int, rng: np.random.Generator) -> tuple[int, int] | None:
-    """The vantage point and mu that split best, or None if hardly any pair is saved."""
-    best, found = 0.75 * len(prints) ** 2, None
+def border(prints: np.ndarray, radius: int, rng: np.random.Generator, most: float = WORTH_DEALING) -> tuple[int, int] | None:
+    """The vantage point and mu that split best, or None if more than ``most`` of the pairs would be left."""
+    best, found = most * len(prints) ** 2, None
     for point in prints[rng.integers(0, len(prints), 6)]:
         upto = np.cumsum(np.bincount(distance(prints, int(point)), minlength=65 + radius))
         left, right = upto[radius : 65 + radius].astype(float), len(prints) - upto[:65].astype(float)
@@ -198,13 +200,17 @@ def join_local(prints: np.ndarray, radius: int, wide: np.ndarray | None = None,
     forest, rng = Forest(len(prints)), np.random.default_rng(SEED)
 
     def compare(rows: np.ndarray) -> None:
-        step = max(1, 4_000_000 // len(rows))
+        step = max(1, 2_000_000 // len(rows))
         for at in range(0, len(rows), step):
             some, rest = rows[at : at + step], rows[at:]
             near = np.bitwise_count(prints[some][:, None] ^ prints[rest][None, :]) <= radius
-            near &= forest.label[some][:, None] != forest.label[rest][None, :]
+            if np.count_nonzero(near) > 16 * len(rest):  # many links: only those between what is still apart
+                near &= forest.label[some][:, None] != forest.label[rest][None, :]
             a, b = np.nonzero(near)
-            a, b = some[a], rest[b]
+            after = b > a
+            a, b = some[a[after]], rest[b[after]]
+            apart = forest.label[a] != forest.label[b]
+            a, b = a[apart], b[apart]
             if wide is None:
                 forest.link(a, b)
                 continue
@@ -216,7 +222,7 @@ def join_local(prints: np.ndarray, radius: int, wide: np.ndarray | None = None,
     stack = [np.arange(len(prints))]
     while stack:
         rows = stack.pop()
-        cut = border(prints[rows], radius, rng) if len(rows) > LEAF else None
+        cut = border(prints[rows], radius, rng, WORTH_SPLITTING) if len(rows) > LEAF else None
         if cut is None:
             if len(rows) > 1:
                 compare(rows)
