@@ -1,29 +1,28 @@
 """The curated dictionary: longest-match, embedded and audit joins with tokens.
 
-Terms are few and come from the driver, so their number is known: they are
-broadcast up to ``BROADCAST_TERMS`` and joined by shuffle beyond. Tokens make
-n-grams only within the lengths that keys have.
+Terms come from the driver, so their number is known. Up to ``BROADCAST_TERMS`` they
+go to the tasks, and one pass over each document's tokens finds the matches without
+a shuffle. Beyond that, tokens make n-grams (within the lengths that keys have) that
+are joined with the terms by shuffle; both ways give the same rows.
+
+Tokenized documents are rows (key, text, starts, ends), two arrays of offsets.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.sql.functions import pandas_udf
 
 from kasumi import values as V
 from kasumi.functions.text import normal, normalize
 from kasumi.operators.spans import leftmost_longest
 
 BROADCAST_TERMS = 200_000
-SPANS = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("surface", T.StringType())]))
 #: Words of Latin letters and digits, runs of one Japanese script, other characters alone.
 TOKEN = r"[A-Za-z0-9À-ÖØ-öø-ɏ]+|[ぁ-ゖ]+|[ァ-ヺー]+|[㐀-䶿一-鿿]+|\S"
 
@@ -61,88 +60,139 @@ def sized(terms: DataFrame, n: int) -> DataFrame:
     return F.broadcast(terms) if n <= BROADCAST_TERMS else terms
 
 
-@pandas_udf(SPANS)
-def _token_spans(texts: pd.Series) -> pd.Series:
-    find = re.compile(TOKEN).finditer
-    return texts.map(lambda x: [{"start": m.start(), "end": m.end(), "surface": m.group()} for m in find(x)], na_action="ignore")
-
+Cut = Callable[[str], tuple[list[int], list[int]]]
 
-def tokens(docs: DataFrame, *, key: str = "doc_id", text: str = "text", cut: Column | None = None) -> DataFrame:
-    """(key, i, start, end, surface). ``cut``: another tokenizer's array of STRUCT<start, end, surface>; white space makes no token."""
-    found = docs.select(key, F.posexplode(_token_spans(F.col(text)) if cut is None else cut).alias("i", "t"))
-    return found.select(key, "i", "t.start", "t.end", "t.surface").where(~F.col("surface").rlike(r"\A(?U)\s*\z"))
 
+def cut_by_script(text: str) -> tuple[list[int], list[int]]:
+    """The default tokenizer; white space makes no token."""
+    spans = [m.span() for m in re.finditer(TOKEN, text)]
+    return [a for a, _ in spans], [b for _, b in spans]
 
-def grams(token_rows: DataFrame, longest: int, most: int = V.MAX_TOKENS, *, key: str = "doc_id") -> DataFrame:
-    """(key, start, end, key_text): runs of up to ``most`` tokens whose normalised text has at most ``longest`` characters.
 
-    The tokens of a document come together once; the n-grams are made where they are.
-    """
-    # an array of a document's tokens is as long as its text
-    own = token_rows.select(key, F.struct("start", "end", normalize(F.col("surface")).alias("n")).alias("t"))
-    held = own.groupBy(key).agg(F.array_sort(F.collect_list("t")).alias("ts"))
+def tokenized(docs: DataFrame, *, key: str = "doc_id", text: str = "text", cut: Cut = cut_by_script) -> DataFrame:
+    """(key, text, starts, ends). Another tokenizer (a morphological one, say) goes in as ``cut``, which is loaded once in each task."""
 
-    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            starts, ends = [], []
+            for body in batch.column(1).to_pylist():
+                a, b = cut(body or "")
+                kept = [k for k, (x, y) in enumerate(zip(a, b, strict=True)) if body[x:y].strip()] if cut is not cut_by_script else None
+                starts.append(a if kept is None else [a[k] for k in kept])
+                ends.append(b if kept is None else [b[k] for k in kept])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(starts, pa.list_(pa.int32())), pa.array(ends, pa.list_(pa.int32()))], names=[key, text, "starts", "ends"])
+
+    kind = docs.schema[key].dataType.simpleString()
+    return docs.select(key, text).mapInArrow(made, f"`{key}` {kind}, `{text}` string, starts array<int>, ends array<int>").withColumnRenamed(text, "text")
+
+
+def tokens(tokenized_docs: DataFrame, *, key: str = "doc_id") -> DataFrame:
+    """(key, i, start, end, surface), a row per token."""
+    own = tokenized_docs.select(key, "text", F.posexplode(F.arrays_zip("starts", "ends")).alias("i", "t"))
+    return own.select(key, "i", F.col("t.starts").alias("start"), F.col("t.ends").alias("end"), F.substring("text", (F.col("t.starts") + 1).cast("int"), (F.col("t.ends") - F.col("t.starts")).cast("int")).alias("surface"))
+
+
+def key_of(surface: str) -> str:
+    return surface.lower() if surface.isascii() else normal(surface)
+
+
+def longest_matches(units: list[str], terms: dict, longest: int, most: int = V.MAX_TOKENS) -> Iterator[tuple[int, int, object]]:
+    """(first, after, value) of the longest term at each place, going on behind it."""
+    i, n = 0, len(units)
+    while i < n:
+        text, found = "", None
+        for j in range(i, min(i + most, n)):
+            text += units[j]
+            if len(text) > longest:
+                break
+            if text in terms:
+                found = j + 1, terms[text]
+        if found:
+            yield i, *found
+            i = found[0]
+        else:
+            i += 1
+
+
+def _scan(tokenized_docs: DataFrame, key: str, find: Callable[[str, list[int], list[int], object], Iterator[tuple[int, int, str, str]]], extra: str | None = None) -> DataFrame:
+    """(key, start, end, canonical, category): what ``find`` gives for each document, in one pass."""
+    kind = tokenized_docs.schema[key].dataType.simpleString()
+
+    def scanned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for doc, ts in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
-                starts, ends, keys = [], [], []
-                for i, first in enumerate(ts):
-                    text = ""
-                    for t in ts[i : i + most]:
-                        text += t["n"]
-                        if len(text) > longest:
-                            break
-                        starts.append(first["start"])
-                        ends.append(t["end"])
-                        keys.append(text)
-                for at in range(0, len(keys), 50_000):
-                    n = len(keys[at : at + 50_000])
-                    yield pa.RecordBatch.from_arrays([pa.array([doc.as_py()] * n, batch.schema.field(0).type), pa.array(starts[at : at + n], pa.int32()), pa.array(ends[at : at + n], pa.int32()), pa.array(keys[at : at + n], pa.string())], names=[key, "start", "end", "key_text"])
-
-    kind = token_rows.schema[key].dataType.simpleString()
-    return held.mapInArrow(runs, f"`{key}` {kind}, start int, end int, key_text string")
-
-
-def match(token_rows: DataFrame, dictionary: Dictionary, *, key: str = "doc_id") -> DataFrame:
+            docs, rows = [], []
+            more = batch.column(4).to_pylist() if extra else [None] * batch.num_rows
+            for doc, text, starts, ends, own in zip(*(c.to_pylist() for c in batch.columns[:4]), more, strict=True):
+                found = list(find(text or "", starts, ends, own))
+                rows += found
+                docs += [doc] * len(found)
+            columns = [pa.array(docs, batch.schema.field(0).type), *(pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int32(), pa.int32(), pa.string(), pa.string())))]
+            yield pa.RecordBatch.from_arrays(columns, names=[key, "start", "end", "canonical", "category"])
+
+    return tokenized_docs.select(key, "text", "starts", "ends", *([extra] if extra else [])).mapInArrow(scanned, f"`{key}` {kind}, start int, end int, canonical string, category string")
+
+
+def grams(tokenized_docs: DataFrame, longest: int, most: int = V.MAX_TOKENS, *, key: str = "doc_id") -> DataFrame:
+    """(key, start, end, canonical, category): runs of tokens, their normalised text in ``canonical``; for joins by shuffle."""
+
+    def runs(text: str, starts: list[int], ends: list[int], _: object) -> Iterator[tuple[int, int, str, str]]:
+        units = [key_of(text[a:b]) for a, b in zip(starts, ends, strict=True)]
+        for i in range(len(units)):
+            run = ""
+            for j in range(i, min(i + most, len(units))):
+                run += units[j]
+                if len(run) > longest:
+                    break
+                yield starts[i], ends[j], run, ""
+
+    return _scan(tokenized_docs, key, runs)
+
+
+def match(tokenized_docs: DataFrame, dictionary: Dictionary, *, key: str = "doc_id", broadcast_terms: int = BROADCAST_TERMS) -> DataFrame:
     """(key, start, end, canonical, category): from the left, at each token the longest term that begins there, no two overlapping."""
-    spark, keys = token_rows.sparkSession, dictionary.keys()
-    terms = dictionary.frame(spark).select(F.col("key").alias("key_text"), "canonical", "category")
+    keys = dictionary.keys()
     longest = max(map(len, keys), default=0)
-    hits = grams(token_rows, longest, key=key).join(sized(terms, len(keys)), "key_text")
-    return leftmost_longest(hits.select(key, "start", "end", "canonical", "category"), key)
+    if len(keys) > broadcast_terms:
+        terms = dictionary.frame(tokenized_docs.sparkSession).select(F.col("key").alias("run"), "canonical", "category")
+        hits = grams(tokenized_docs, longest, key=key).select(key, "start", "end", F.col("canonical").alias("run")).join(terms, "run")
+        return leftmost_longest(hits.select(key, "start", "end", "canonical", "category"), key)
+    terms = {k: (t.canonical, t.category) for k, t in keys.items()}
+
+    def find(text: str, starts: list[int], ends: list[int], _: object) -> Iterator[tuple[int, int, str, str]]:
+        units = [key_of(text[a:b]) for a, b in zip(starts, ends, strict=True)]
+        for i, j, value in longest_matches(units, terms, longest):
+            yield starts[i], ends[j - 1], *value
+
+    return _scan(tokenized_docs, key, find)
 
 
-def match_by_document(token_rows: DataFrame, terms: DataFrame, *, key: str = "doc_id", most_chars: int = 200) -> DataFrame:
-    """``match`` with terms of each document's own: (key, key_text, category)."""
-    own = token_rows.join(terms.select(key).distinct(), key, "left_semi")
-    hits = grams(own, most_chars, key=key).join(terms.select(key, "key_text", "category"), [key, "key_text"])
-    return leftmost_longest(hits.select(key, "start", "end", "category"), key)
+def match_by_document(tokenized_docs: DataFrame, terms: DataFrame, *, key: str = "doc_id") -> DataFrame:
+    """(key, start, end, category): ``match`` with terms of each document's own, (key, key_text, category)."""
+    own = terms.groupBy(key).agg(F.collect_list(F.struct("key_text", "category")).alias("own"))  # as many as the document has surfaces
 
+    def find(text: str, starts: list[int], ends: list[int], held: list[dict]) -> Iterator[tuple[int, int, str, str]]:
+        known = {t["key_text"]: t["category"] for t in held}
+        units = [key_of(text[a:b]) for a, b in zip(starts, ends, strict=True)]
+        for i, j, category in longest_matches(units, known, max(map(len, known))):
+            yield starts[i], ends[j - 1], "", category
 
-@pandas_udf(SPANS)
-def _subword_spans(surfaces: pd.Series) -> pd.Series:
-    find = re.compile(V.SUBWORD).finditer
-    return surfaces.map(lambda x: [{"start": m.start(), "end": m.end(), "surface": m.group()} for m in find(x)], na_action="ignore")
+    return _scan(tokenized_docs.join(own, key), key, find, "own").drop("canonical")
 
 
-def subwords(token_rows: DataFrame, *, key: str = "doc_id", least: int = 1) -> DataFrame:
-    """(key, i, unit, start, end, surface): sub-words of the tokens that have at least so many, in offsets of the text."""
-    found = token_rows.select(key, "i", F.col("start").alias("__at"), _subword_spans(F.col("surface")).alias("subs")).where(F.size("subs") >= least)
-    found = found.select(key, "i", "__at", F.posexplode("subs").alias("unit", "s"))
-    return found.select(key, "i", "unit", (F.col("__at") + F.col("s.start")).alias("start"), (F.col("__at") + F.col("s.end")).alias("end"), F.col("s.surface").alias("surface"))
+def match_embedded(tokenized_docs: DataFrame, dictionary: Dictionary, *, key: str = "doc_id") -> DataFrame:
+    """(key, start, end, canonical, category): terms marked ``embed`` among the sub-words of compound tokens; what one token holds never runs on into the next."""
+    terms = {k: (t.canonical, t.category) for k, t in dictionary.keys().items() if t.embed}
+    longest = max(map(len, terms), default=0)
 
+    def find(text: str, starts: list[int], ends: list[int], _: object) -> Iterator[tuple[int, int, str, str]]:
+        for a, b in zip(starts, ends, strict=True):
+            subs = [m.span() for m in re.finditer(V.SUBWORD, text[a:b])]
+            if len(subs) > 1:
+                units = [key_of(text[a + x : a + y]) for x, y in subs]
+                for i, j, value in longest_matches(units, terms, longest):
+                    yield a + subs[i][0], a + subs[j - 1][1], *value
 
-def match_embedded(token_rows: DataFrame, dictionary: Dictionary, *, key: str = "doc_id") -> DataFrame:
-    """(key, start, end, canonical, category): terms marked ``embed`` among the sub-words of compound tokens."""
-    spark = token_rows.sparkSession
-    keys = {k: t for k, t in dictionary.keys().items() if t.embed}
-    terms = dictionary.frame(spark).where("embed").select(F.col("key").alias("key_text"), "canonical", "category")
-    # tokens are told apart by a compound key: what one holds never runs on into the next
-    parts = subwords(token_rows, key=key, least=2).select(F.struct(key, "i").alias("token"), "start", "end", "surface").withColumn("token_key", F.to_json("token"))
-    hits = grams(parts, max(map(len, keys), default=0), key="token_key").join(sized(terms, len(keys)), "key_text")
-    kept = leftmost_longest(hits.select("token_key", "start", "end", "canonical", "category"), "token_key")
-    kind = token_rows.schema[key].dataType
-    return kept.select(F.get_json_object("token_key", f"$.{key}").cast(kind).alias(key), "start", "end", "canonical", "category")
+    return _scan(tokenized_docs, key, find)
 
 
 def leaks(token_rows: DataFrame, dictionary: Dictionary, *, key: str = "doc_id") -> DataFrame:

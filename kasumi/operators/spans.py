@@ -43,7 +43,8 @@ def regex_spans(docs: DataFrame, pattern: str, *, key: str = "doc_id", text: str
 
 def clusters(spans: DataFrame, by: list[str], *, name: str = "cluster") -> DataFrame:
     """The rows with the number of the group of overlapping spans they are in; touching spans are apart."""
-    order = Window.partitionBy(*by).orderBy("start", "end")
+    ties = [c for c in ("ord", "channel", "label") if c in spans.columns]  # both windows see one order
+    order = Window.partitionBy(*by).orderBy("start", "end", *ties)
     before = order.rowsBetween(Window.unboundedPreceding, -1)
     fresh = F.when(F.col("start") < F.max("end").over(before), 0).otherwise(1)
     numbered = spans.withColumn("__fresh", fresh)

@@ -12,7 +12,7 @@ from kasumi import values as V
 from kasumi.functions.text import either, vote_category
 from kasumi.operators import consensus, entities, prepare
 from kasumi.operators.allowlist import Allowlist, exclude
-from kasumi.operators.dictionary import Dictionary, match, match_by_document, match_embedded, tokens
+from kasumi.operators.dictionary import Cut, Dictionary, cut_by_script, match, match_by_document, match_embedded, tokenized, tokens
 from kasumi.operators.spans import mask, regex_spans, without_overlaps
 
 def settled(df: DataFrame) -> DataFrame:
@@ -34,7 +34,7 @@ class Analysis:
     """What was found, before anything is masked. Offsets are those of ``bodies``' text."""
 
     bodies: DataFrame
-    tokens: DataFrame
+    tokenized: DataFrame
     candidates: DataFrame
 
 
@@ -57,7 +57,7 @@ class Masking:
     allowlist: Allowlist | None = None
     flatten: bool = False
     promote: bool = True
-    tokenizer: Column | None = None
+    tokenizer: Cut = cut_by_script
 
     def bodies(self, docs: DataFrame) -> DataFrame:
         """(doc_id, text, original_text, offset_map) of (doc_id, chunks)."""
@@ -83,7 +83,7 @@ class Masking:
         """Candidates of (doc_id, chunks). ``extra_terms``: (doc_id, surface, category) to promote as well."""
         bodies = settled(self.bodies(docs))
         texts = bodies.select("doc_id", "text")
-        words = tokens(texts, cut=self.tokenizer)
+        words = tokenized(texts, cut=self.tokenizer)
         parts = [self.recognised(texts)]
         if self.dictionary:
             parts.append(_listed(match(words, self.dictionary), V.DICT, V.DICT_SUFFIX, 0))
@@ -104,14 +104,14 @@ class Masking:
         candidates = consensus.with_contacts(candidates, regex_spans(texts, V.EMAIL, needs="@"))
         candidates = consensus.demote(candidates)
         if self.allowlist:
-            candidates = exclude(candidates, self.allowlist, words)
+            candidates = exclude(candidates, self.allowlist, tokens(words))
         return Analysis(bodies, words, settled(candidates))
 
     def expanded(self, analysis: Analysis, selected: DataFrame) -> DataFrame:
         """The selected candidates and all other occurrences of their surfaces, in order."""
         own = entities.keyed(selected.withColumn("ord", F.monotonically_increasing_id()) if "ord" not in selected.columns else selected)
         terms = own.where("entity <> ''").groupBy("doc_id", F.col("entity").alias("key_text")).agg(F.max_by("category", entities.strength(F.col("ord"))).alias("category"))
-        more = without_overlaps(match_by_document(analysis.tokens, terms), selected)
+        more = without_overlaps(match_by_document(analysis.tokenized, terms), selected)
         surfaced = consensus.with_surfaces(more, analysis.bodies)
         vote = F.array(F.struct(F.lit(V.COLLECTED).alias("channel"), F.lit("展開").alias("label")))
         late = F.lit(1 << 40) + F.col("start")  # after all that was selected
