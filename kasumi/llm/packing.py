@@ -1,7 +1,7 @@
 """Bounded-space online best-fit packing of documents into sequences.
 
-Every task packs the documents of its own partition as they come, so nothing is
-shuffled. A packer keeps at most ``open_bins`` bins open: a bitset over the free
+Every task packs the documents of its own partition as they come, batch by batch and
+in a batch the longest pieces first, so nothing is shuffled. A packer keeps at most ``open_bins`` bins open: a bitset over the free
 space says which sizes have an open bin, and its lowest set bit at or above a
 piece's length is the best fit. When all are taken, the fullest bin closes.
 
@@ -86,15 +86,13 @@ def pack(docs: DataFrame, encoder: Callable[[], Callable[[str], np.ndarray]], *,
         encode, fit = encoder(), BestFit(capacity, open_bins)
         base = TaskContext.get().partitionId() << 32
         for batch in batches:
-            out: list[list] = [[] for _ in ARROW]
+            found = []
             for doc_id, text in zip(batch.column(0).to_pylist(), strings(batch, text_col), strict=True):
                 ids = np.append(encode(text), np.uint32(end_id)).astype("<u4")
-                for k, (start, length) in enumerate(pieces(len(ids), capacity)):
-                    number, offset = fit.place(length)
-                    row = doc_id, k, start, length, zlib.crc32(ids[start : start + length].tobytes()), base + number, offset
-                    for column, value in zip(out, row, strict=True):
-                        column.append(value)
-            yield from rows(ARROW, out)
+                found += [(doc_id, k, start, length, zlib.crc32(ids[start : start + length].tobytes())) for k, (start, length) in enumerate(pieces(len(ids), capacity))]
+            found.sort(key=lambda row: -row[3])
+            placed = [(*row, base + number, offset) for row in found for number, offset in [fit.place(row[3])]]
+            yield from rows(ARROW, [[row[k] for row in placed] for k in range(len(ARROW))])
 
     return docs.select(docs[id_col].cast("long").alias("doc_id"), text_col).mapInArrow(packed, SCHEMA)
 
