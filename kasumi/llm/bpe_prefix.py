@@ -86,7 +86,8 @@ class PrefixBpe:
             if i not in self.parts and len(symbols) > 1:
                 continue  # no merge leads to it
             whole[i] = i not in self.parts or all(whole.get(p, False) for p in self.parts[i]) and self._border_holds(*self.parts[i], False)
-            self.automaton.add_word(symbols, (len(symbols), i, whole[i]))
+            if whole[i]:  # else its own text is encoded otherwise, and it never comes about
+                self.automaton.add_word(symbols, (len(symbols), i))
         self.automaton.make_automaton()
 
     def symbols(self, token: str) -> str:
@@ -120,13 +121,12 @@ class PrefixBpe:
         marked = self.mark(word)
         last: list[tuple[int, int] | None] = [None] * len(marked)
         pairs = self.pairs
-        for end, (length, token, whole) in self.automaton.iter(marked):
+        for end, (length, token) in self.automaton.iter(marked):
             if last[end] is not None:
                 continue
             start = end - length
             if start < 0:
-                if whole:
-                    last[end] = start, token
+                last[end] = start, token
                 continue
             before = last[start]
             if before is None:
