@@ -31,7 +31,7 @@ from kasumi.llm.common import strings
 
 #: Rated rows to fit on; hash buckets of words; bytes of a word's beginning; levels of each share.
 FIT_ROWS, BITS, HEAD, LEVELS = 12_000, 19, 5, 16
-EPOCHS, BATCH, RATE, RIDGE = 20, 64, 0.1, 1e-3
+EPOCHS, LEAST_STEPS, BATCH, RATE, RIDGE = 20, 1_000, 64, 0.1, 1e-3
 #: Probability of the best grade from which a document stays.
 KEEP = 0.6
 SHARES = 6
@@ -119,7 +119,8 @@ class Ordinal:
 
 
 def fit(docs: list[np.ndarray], grades: np.ndarray, levels: int, *, epochs: int = EPOCHS, rate: float = RATE, ridge: float = RIDGE, seed: int = 0) -> Ordinal:
-    """By likelihood, with steps scaled by the gradients so far; thresholds stay in order."""
+    """By likelihood, with steps scaled by the gradients so far; thresholds stay in order. Few documents are gone over more often, for ``LEAST_STEPS`` in all."""
+    epochs = max(epochs, LEAST_STEPS * BATCH // max(1, len(docs)))
     rng = np.random.default_rng(seed)
     weights, squares = np.zeros(WIDTH), np.full(WIDTH, 1e-2)
     thresholds = np.linspace(-1, 1, levels - 1) if levels > 2 else np.zeros(levels - 1)
