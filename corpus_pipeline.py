@@ -19,7 +19,7 @@ from kasumi.llm.common import shared_path, table
 #: Documents of these columns go from stage to stage.
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: Near copies: lanes of 64 bits over a document's distinct words, of which one differs in at most so many bits; sketch lanes over its five-word shingles, and the similarity that they must show.
-NEAR = {"lanes": 4, "radius": 3, "words": 5, "sketch_lanes": 8, "similarity": 0.8}
+NEAR = {"lanes": 6, "radius": 3, "words": 5, "sketch_lanes": 8, "similarity": 0.8}
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

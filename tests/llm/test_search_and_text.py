@@ -155,7 +155,7 @@ def test_one_of_each_group_stays(spark):
     far = " ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(300))
     rows = [(5, text, "a"), (9, near, "b"), (7, text.upper(), "c"), (3, far, "d"), (11, far, "e"), (None, text, "f"), (12, "", "g"), (13, None, "h"), (3, far, "d")]
     df = spark.createDataFrame(rows, "doc_id long, text string, s0 string")
-    options = {"lanes": 4, "radius": 3, "words": 5, "sketch_lanes": 8, "similarity": 0.8}
+    options = {"lanes": 6, "radius": 3, "words": 5, "sketch_lanes": 8, "similarity": 0.8}
     got = sorted(((r.doc_id, r.s0) for r in simhash.keep_first(df, **options).collect()), key=repr)
     assert got == sorted([(5, "a"), (3, "d"), (None, "f"), (12, "g")], key=repr)
     assert simhash.keep_first(df.limit(0), **options).count() == 0
