@@ -127,9 +127,8 @@ def chunks(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -
 
 
 def deduplicate(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shortest_run: int = SHORTEST_RUN) -> DataFrame:
-    """The rows with ``text_col`` freed of copies, and removed: the spans cut out, in code points of the former text."""
-    if "removed" in docs.columns:
-        raise ValueError("the rows have a column named removed")
+    """The rows with ``text_col`` freed of copies, and removed: the spans cut out, in code points of the former text. It takes the place of a column of that name."""
+    docs = docs.drop("removed", "__copies", "__id")
     all_chunks = chunks(docs, id_col=id_col, text_col=text_col)
     firsts = all_chunks.groupBy("digest").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("last > first").select("digest", "first")
     copies = all_chunks.join(firsts, "digest").where("doc_id > first").groupBy("doc_id").agg(F.collect_list("digest").alias("__copies")).withColumnRenamed("doc_id", "__id")  # as many as the document has chunks

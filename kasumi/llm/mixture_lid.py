@@ -163,7 +163,8 @@ def learn(docs: DataFrame, *, usable: Column | None = None, id_col: str = "doc_i
 
 
 def predict(docs: DataFrame, model: Model, *, keep: list[str], text_col: str = "text") -> DataFrame:
-    """The kept columns, lang_pred, score (its proportion) and languages (the set chosen, largest first)."""
+    """The kept columns, lang_pred, score (its proportion) and languages (the set chosen, largest first), which take the places of columns of those names."""
+    keep = [c for c in keep if c not in ("lang_pred", "score", "languages")]
     held = docs.sparkSession.sparkContext.broadcast(model)  # languages x 2**BITS x 4 bytes, whatever the input
     kept = docs.select(*keep).schema
 

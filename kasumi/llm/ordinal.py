@@ -182,7 +182,8 @@ def learn(docs: DataFrame, ratings: DataFrame, *, levels: int, id_col: str = "do
 
 
 def predict(docs: DataFrame, model: Ordinal, *, keep: list[str], reach: int, text_col: str = "text") -> DataFrame:
-    """The kept columns, expected_grade and tail_probability, that of a grade of at least ``reach``."""
+    """The kept columns, expected_grade and tail_probability, that of a grade of at least ``reach``; both take the places of columns of those names."""
+    keep = [c for c in keep if c not in ("expected_grade", "tail_probability")]
     held = docs.sparkSession.sparkContext.broadcast(model)  # WIDTH x 4 bytes, whatever the input
     kept = docs.select(*keep).schema
 

@@ -163,6 +163,8 @@ def test_repeated_passages_go(spark):
     assert {r.text for r in found if r.doc_id == 6000} == {t for i, t in rows if i == 6000}
     assert [r.text for r in found if r.doc_id is None] == [rows[1][1]]
     assert cdc.deduplicate(df.limit(0)).count() == 0
+    clash = df.withColumn("removed", F.lit(1)).withColumn("__copies", F.lit(1))
+    assert dict(cdc.deduplicate(clash).dtypes)["removed"].startswith("array") and cdc.deduplicate(clash).count() == len(rows)
 
 
 # --- models ---------------------------------------------------------------------------------------
@@ -188,6 +190,8 @@ def test_languages_and_mixtures(spark, languages):
     assert [(got[k].lang_pred, got[k].score) for k in (2, 3, 4)] == [("und", 0.0)] * 3
     assert got[5].lang_pred in model.languages and got[None].lang_pred == "xx"
     assert mixture_lid.predict(odd.limit(0), model, keep=["doc_id"]).count() == 0
+    clash = odd.withColumn("score", F.lit("x")).withColumn("id", F.lit(1))
+    assert dict(mixture_lid.predict(clash, model, keep=["doc_id", "score", "id"]).dtypes)["score"] == "double"
     nothing = mixture_lid.learn(odd.withColumn("lang", F.lit(None).cast("string")))
     assert {r.lang_pred for r in mixture_lid.predict(odd, nothing, keep=["doc_id"]).collect()} == {"und"}
 
