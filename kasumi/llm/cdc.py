@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kasumi.llm.common import strings
+from kasumi.llm.common import runs, strings
 
 #: Words on either side that a border's hash exceeds; words a chunk has at most; words a run has at least.
 REACH, LONGEST, SHORTEST_RUN = 3, 64, 16
@@ -115,8 +115,8 @@ def chunks(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 250):
-                part = batch.slice(at, 250)
+            for run in runs(strings(batch, "text")):
+                part = batch.slice(run.start, run.stop - run.start)
                 raw = [x.encode() for x in strings(part, "text")]
                 found = [np.array(list(set(digests(x, starts))), dtype=np.int64) for x, (starts, _) in zip(raw, borders(raw), strict=True)]
                 ids = np.repeat(part.column(0).to_numpy(zero_copy_only=False).astype(np.int64), [len(x) for x in found])
@@ -137,14 +137,14 @@ def deduplicate(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
 
     def freed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for at in range(0, whole.num_rows, 250):
-                batch = whole.slice(at, 250)
+            for run in runs(strings(whole, text_col)):
+                batch = whole.slice(run.start, run.stop - run.start)
                 texts = batch.column(text_col).to_pylist()
                 raw = [(x or "").encode() for x in texts]
                 spans: list[list] = []
                 for k, (own, (starts, words), elsewhere) in enumerate(zip(raw, borders(raw), batch.column("__copies").to_pylist(), strict=True)):
-                    runs = duplicate_runs(digests(own, starts), words, set(elsewhere or ()), shortest_run)
-                    cut = [(int(starts[a]), int(starts[b])) for a, b in runs]
+                    found = duplicate_runs(digests(own, starts), words, set(elsewhere or ()), shortest_run)
+                    cut = [(int(starts[a]), int(starts[b])) for a, b in found]
                     spans.append([{"start": len(own[:a].decode()), "length": len(own[a:b].decode())} for a, b in cut])
                     if cut:
                         kept, last = [], 0

@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Rows in an Arrow batch. With Spark's own limit in bytes (64 MB) it bounds a worker's memory.
 BATCH_ROWS = 1000
+#: Characters that a vectorised step takes at once.
+RUN_CHARS = 500_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,6 +42,18 @@ def strings(batch: pa.RecordBatch, name: str) -> list[str]:
     return [x or "" for x in batch.column(name).to_pylist()]
 
 
+def runs(texts: list[str], most: int = RUN_CHARS) -> Iterator[slice]:
+    """Neighbouring texts with at most so many characters together, a longer one alone; they bound what a vectorised step holds."""
+    begin = size = 0
+    for k, text in enumerate(texts):
+        if k > begin and size + len(text) > most:
+            yield slice(begin, k)
+            begin, size = k, 0
+        size += len(text) + 1
+    if begin < len(texts):
+        yield slice(begin, len(texts))
+
+
 def rows(schema: pa.Schema, columns: list, size: int = 20_000) -> Iterator[pa.RecordBatch]:
     """Columns as batches of a bounded number of rows."""
     arrays = [c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)]

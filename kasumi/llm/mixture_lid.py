@@ -29,7 +29,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kasumi.llm.common import strings
+from kasumi.llm.common import runs, strings
 
 #: Documents of a language to learn from; hash buckets; n-grams in a window; their overlap.
 TRAIN_ROWS, BITS, WINDOW, TEMPER = 4_000, 17, 24, 4.0
@@ -147,7 +147,8 @@ def learn(docs: DataFrame, *, usable: Column | None = None, id_col: str = "doc_i
             for lang, text in zip(batch.column(0).to_pylist(), strings(batch, "text"), strict=True):
                 by.setdefault(lang, []).append(text)
             for lang, texts in by.items():
-                totals[lang] = totals.get(lang, 0) + np.bincount(grams(texts, bits)[0], minlength=1 << bits)
+                for some in runs(texts):
+                    totals[lang] = totals.get(lang, 0) + np.bincount(grams(texts[some], bits)[0], minlength=1 << bits)
         for lang, total in totals.items():
             there = np.nonzero(total)[0]
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(there), pa.string()), pa.array(there), pa.array(total[there])], names=["lang", "bucket", "n"])
@@ -175,8 +176,9 @@ def predict(docs: DataFrame, model: Model, *, keep: list[str], text_col: str = "
             texts = strings(batch, "__text")
             found, score, sets = np.full(len(texts), len(model.languages)), np.zeros(len(texts)), [[] for _ in texts]
             lettered = np.array([k for k, x in enumerate(texts) if model.languages and LETTER.search(x)], dtype=np.int64)
-            for some in np.array_split(lettered, max(1, len(lettered) // 250)) if len(lettered) else []:
-                mixture = model.mixtures([texts[k] for k in some])
+            known = [texts[k] for k in lettered]
+            for run in runs(known):
+                some, mixture = lettered[run], model.mixtures(known[run])
                 found[some], score[some] = mixture.argmax(axis=1), np.clip(mixture.max(axis=1), 0, 1)
                 for k, own in zip(some, mixture, strict=True):
                     sets[k] = [names[x] for x in np.argsort(-own, kind="stable") if own[x] > 0]

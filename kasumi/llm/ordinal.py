@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kasumi.llm.common import strings
+from kasumi.llm.common import runs, strings
 
 #: Rated rows to fit on; hash buckets of words; bytes of a word's beginning; levels of each share.
 FIT_ROWS, BITS, HEAD, LEVELS = 12_000, 19, 5, 16
@@ -170,9 +170,9 @@ def learn(docs: DataFrame, ratings: DataFrame, *, levels: int, id_col: str = "do
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = strings(batch, "text")
-            for at in range(0, len(texts), 250):
-                buckets, starts = features(texts[at : at + 250])
-                own = batch.slice(at, 250)
+            for run in runs(texts):
+                buckets, starts = features(texts[run])
+                own = batch.slice(run.start, run.stop - run.start)
                 flat = pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(buckets.astype(np.int32), pa.int32()))
                 yield pa.RecordBatch.from_arrays([own.column("id").cast(pa.string()), own.column("grade"), flat], names=["id", "grade", "buckets"])
 
@@ -191,7 +191,7 @@ def predict(docs: DataFrame, model: Ordinal, *, keep: list[str], reach: int, tex
         model = held.value
         for batch in batches:
             texts = strings(batch, "__text")
-            tails = np.concatenate([np.zeros((0, len(model.thresholds))), *(model.tails(texts[at : at + 250]) for at in range(0, len(texts), 250))])
+            tails = np.concatenate([np.zeros((0, len(model.thresholds))), *(model.tails(texts[run]) for run in runs(texts))])
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(len(kept))), pa.array(tails.sum(axis=1)), pa.array(tails[:, reach - 1])], names=[*kept.names, "expected_grade", "tail_probability"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept)

@@ -36,6 +36,8 @@ from kasumi.llm.components import connected
 SAMPLE, SHARD_TARGET, SHARD_ROWS = 32_768, 24_000, 100_000
 #: Rows that are compared with each other without further splitting.
 LEAF = 256
+#: Pairs of fingerprints, and of sketches, that are compared at once; they bound a task's memory.
+PAIRS, JUDGED = 500_000, 50_000
 #: The share of pairs that a split may leave: to deal rows out by it, and to split within a task.
 WORTH_DEALING, WORTH_SPLITTING = 0.75, 0.93
 SEED = 42
@@ -200,7 +202,7 @@ def join_local(prints: np.ndarray, radius: int, wide: np.ndarray | None = None,
     forest, rng = Forest(len(prints)), np.random.default_rng(SEED)
 
     def compare(rows: np.ndarray) -> None:
-        step = max(1, 2_000_000 // len(rows))
+        step = max(1, PAIRS // len(rows))
         for at in range(0, len(rows), step):
             some, rest = rows[at : at + step], rows[at:]
             near = np.bitwise_count(prints[some][:, None] ^ prints[rest][None, :]) <= radius
@@ -214,8 +216,8 @@ def join_local(prints: np.ndarray, radius: int, wide: np.ndarray | None = None,
             if wide is None:
                 forest.link(a, b)
                 continue
-            for k in range(0, len(a), 500_000):
-                x, y = a[k : k + 500_000], b[k : k + 500_000]
+            for k in range(0, len(a), JUDGED):
+                x, y = a[k : k + JUDGED], b[k : k + JUDGED]
                 close = np.bitwise_count(wide[x] ^ wide[y]).sum(axis=1, dtype=np.int64) <= limit
                 forest.link(x[close], y[close])
 
@@ -241,10 +243,11 @@ def _links(prints: DataFrame, lane: str, radius: int, wide: list[str], limit: in
 
     def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own = batch.column(1).to_numpy().view(np.uint64)
-            for leaf, rows in route(tree, own, radius):
-                part = batch.take(pa.array(rows))
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), leaf, np.int64)), *part.columns], names=["shard", *columns])
+            routed = list(route(tree, batch.column(1).to_numpy().view(np.uint64), radius))
+            if routed:
+                shard = np.repeat([leaf for leaf, _ in routed], [len(rows) for _, rows in routed])
+                part = batch.take(pa.array(np.concatenate([rows for _, rows in routed])))
+                yield pa.RecordBatch.from_arrays([pa.array(shard, pa.int64()), *part.columns], names=["shard", *columns])
 
     def joined(shard: pa.Table) -> pa.Table:
         rep = shard.column("rep").to_numpy()
