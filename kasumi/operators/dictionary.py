@@ -87,9 +87,22 @@ def tokenized(docs: DataFrame, *, key: str = "doc_id", text: str = "text", cut:
 
 
 def tokens(tokenized_docs: DataFrame, *, key: str = "doc_id") -> DataFrame:
-    """(key, i, start, end, surface), a row per token."""
-    own = tokenized_docs.select(key, "text", F.posexplode(F.arrays_zip("starts", "ends")).alias("i", "t"))
-    return own.select(key, "i", F.col("t.starts").alias("start"), F.col("t.ends").alias("end"), F.substring("text", (F.col("t.starts") + 1).cast("int"), (F.col("t.ends") - F.col("t.starts")).cast("int")).alias("surface"))
+    """(key, i, start, end, surface), a row per token. Surfaces are cut here, as a substring in the JVM counts from the text's beginning each time."""
+    kind = tokenized_docs.schema[key].dataType.simpleString()
+
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        types = None, pa.int32(), pa.int32(), pa.int32(), pa.string()
+        for batch in batches:
+            held: tuple[list, ...] = ([], [], [], [], [])
+            for k in range(batch.num_rows):
+                doc, text, starts, ends = (batch.column(c)[k].as_py() for c in range(4))
+                for column, more in zip(held, ([doc] * len(starts), range(len(starts)), starts, ends, [text[a:b] for a, b in zip(starts, ends, strict=True)]), strict=True):
+                    column.extend(more)
+                if len(held[0]) >= 50_000 or k == batch.num_rows - 1:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t or batch.schema.field(0).type) for c, t in zip(held, types, strict=True)], names=[key, "i", "start", "end", "surface"])
+                    held = ([], [], [], [], [])
+
+    return tokenized_docs.select(key, "text", "starts", "ends").mapInArrow(listed, f"`{key}` {kind}, i int, start int, end int, surface string")
 
 
 def key_of(surface: str) -> str:
