@@ -577,3 +577,40 @@ def label_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def highlight_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     return spans.highlighted(docs, votes(docs).select("doc_id", "start", "end", "label")).select("doc_id", F.length("html").alias("chars"))
+
+
+@query(f"select label, count(*) as spans from ({VOTES_SQL}) where label in ('PERSON', 'Person') group by label")
+def label_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.labelled(votes(documents(spark, sf_dir)), ["PERSON", "Person"]).groupBy("label").agg(F.count("*").alias("spans"))
+
+
+@query(f'select doc_id, start, "end", label from ({VOTES_SQL})')
+def detections_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans as stored JSON and back."""
+    found = votes(documents(spark, sf_dir)).withColumn("reason", F.lit(None).cast("string")).withColumn("how", F.lit("exact"))
+    missing = found.limit(0).select("doc_id", "label", F.lit("x").alias("missing"))
+    return longs(reports.detected(reports.detections(found, missing)).select("doc_id", "start", "end", "label"))
+
+
+@query(f"with {HELD_SQL} select content_hash, true as loaded, content_hash in (select content_hash from ner) as recognised, content_hash in (select content_hash from llm) as detected, false as drafted from held")
+def pipeline_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own, ner, llm = held(spark, sf_dir)
+    return reports.state(own.withColumn("chunk_count", F.lit(1)), ner, llm, ner.limit(0))
+
+
+@query()
+def readable_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    found = placed_contacts(docs)
+    return reports.readable(spans.mask(docs, entities.placed(found)), entities.mapping(found)).select("doc_id", F.length("html").alias("chars"))
+
+
+@query()
+def expanded_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One selected occurrence of each contact, masked everywhere (by entity) and where it is (by occurrence)."""
+    masking = Masking()
+    analysis = masking.analyze(chunked(documents(spark, sf_dir)))
+    one = analysis.candidates.dropDuplicates(["doc_id", "surface"])
+    everywhere, there = masking.apply(analysis, one), masking.apply(analysis, one, expand=False)
+    joined = everywhere.texts.withColumnRenamed("masked_text", "all_masked").join(there.texts.withColumnRenamed("masked_text", "one_masked"), "doc_id")
+    return joined.select("doc_id", F.length("all_masked").alias("all_chars"), F.length("one_masked").alias("one_chars"))

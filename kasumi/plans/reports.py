@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kasumi import values as V
-from kasumi.functions.text import category_rank, confidence_label, confidence_rank, context, is_interesting, proper_subtype, vote_category
+from kasumi.functions.text import category_rank, confidence_label, confidence_rank, context, escaped, is_interesting, proper_subtype, vote_category
 
 
 def counts(rows: DataFrame, by: str, key: str = "doc_id") -> DataFrame:
@@ -62,3 +62,62 @@ def drift(found: DataFrame, known: DataFrame, column: str = "type") -> DataFrame
     """(type, drift): what is found and not known (new), and known and not found (gone)."""
     a, b = found.select(column).distinct(), known.select(column).distinct()
     return a.join(b, column, "left_anti").withColumn("drift", F.lit("new")).union(b.join(a, column, "left_anti").withColumn("drift", F.lit("gone")))
+
+
+def labels(spans: DataFrame) -> DataFrame:
+    """The labels that occur, in order."""
+    return spans.select("label").distinct().orderBy("label")
+
+
+def labelled(spans: DataFrame, wanted: list[str]) -> DataFrame:
+    return spans.where(F.col("label").isin(*wanted))
+
+
+def llm_view(spans: DataFrame, missing: DataFrame) -> DataFrame:
+    """(doc_id, label, category, texts, found, missed): what the language-model detector says on its own, by type."""
+    own = spans.groupBy("doc_id", "label").agg(F.count("*").alias("found"), F.sort_array(F.collect_set("surface")).alias("texts"))
+    lost = missing.groupBy("doc_id", "label").agg(F.count("*").alias("missed"))
+    both = own.join(lost, ["doc_id", "label"], "full")
+    return both.select("doc_id", "label", F.coalesce(vote_category(F.lit(V.LLM), F.col("label")), F.lit(V.OTHER)).alias("category"), F.coalesce("texts", F.array().cast("array<string>")).alias("texts"), F.coalesce("found", F.lit(0)).alias("found"), F.coalesce("missed", F.lit(0)).alias("missed"))
+
+
+def state(documents: DataFrame, ner: DataFrame, llm: DataFrame, drafts: DataFrame) -> DataFrame:
+    """(content_hash, loaded, recognised, detected, drafted): how far each document has come."""
+    flag = lambda rows, name: rows.select("content_hash").distinct().withColumn(name, F.lit(True))
+    own = documents.select("content_hash", (F.col("chunk_count") > 0).alias("loaded"))
+    for rows, name in ((ner, "recognised"), (llm, "detected"), (drafts, "drafted")):
+        own = own.join(flag(rows, name), "content_hash", "left").withColumn(name, F.coalesce(name, F.lit(False)))
+    return own
+
+
+def readable(masked: DataFrame, mapping: DataFrame, key: str = "doc_id") -> DataFrame:
+    """(key, html): masked texts for a page, placeholders marked, line breaks kept; longer placeholders are marked first."""
+    table = mapping.groupBy(key).agg(F.array_sort(F.collect_list(F.struct((-F.length("placeholder")).alias("n"), escaped(F.col("placeholder")).alias("p")))).alias("table"))
+    marked = F.aggregate(F.coalesce("table", F.array().cast("array<struct<n:int,p:string>>")), escaped(F.col("masked_text")), lambda text, x: F.replace(text, x["p"], F.concat(F.lit("<mark>"), x["p"], F.lit("</mark>"))))
+    return masked.join(table, key, "left").select(key, F.replace(marked, F.lit("\n"), F.lit("<br>")).alias("html"))
+
+
+#: The form in which detections are stored.
+DETECTION = "struct<spans:array<struct<start:int,end:int,label:string,reason:string,how:string>>,missing:array<struct<label:string,text:string>>>"
+
+
+def detections(spans: DataFrame, missing: DataFrame, key: str = "doc_id") -> DataFrame:
+    """(key, detections): a document's spans and misses as JSON."""
+    own = spans.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("start", "end", "label", "reason", "how"))).alias("spans"))
+    lost = missing.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("label", F.col("missing").alias("text")))).alias("missing"))
+    return own.join(lost, key, "full").select(key, F.to_json(F.struct("spans", "missing")).alias("detections"))
+
+
+def detected(stored: DataFrame, key: str = "doc_id") -> DataFrame:
+    """(key, start, end, label, reason, how) of stored detections."""
+    parsed = stored.select(key, F.from_json("detections", DETECTION).alias("d"))
+    return parsed.select(key, F.explode("d.spans").alias("s")).select(key, "s.*")
+
+
+def timing_caption(name: Column, seconds: Column) -> Column:
+    return F.concat(name, F.lit(" "), F.format_number(seconds, 1), F.lit(" s"))
+
+
+def document_label(title: Column, identifier: Column) -> Column:
+    """A document's title with its id, or the id alone."""
+    return F.when(F.coalesce(title, F.lit("")) != "", F.concat(title, F.lit(" ("), identifier, F.lit(")"))).otherwise(identifier)
