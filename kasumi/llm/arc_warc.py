@@ -219,8 +219,8 @@ def write_arc(pages: DataFrame, path: str, *, id_col: str = "page_id", url_col:
     _write(pages.select(F.col(id_col).cast("long").alias("id"), url_col, payload_col).mapInArrow(written, "block binary"), path)
 
 
-def convert(spark: SparkSession, path: str) -> DataFrame:
-    """(record_id, page_id, payload_digest, payload_bytes, record): the WARC records that ARC archives become, each compressed as it is written."""
+def convert(spark: SparkSession, path: str, *, records: bool = True) -> DataFrame:
+    """(record_id, page_id, payload_digest, payload_bytes, record): the WARC records that ARC archives become, each compressed as it is written (null if only what they are known by is asked for)."""
 
     def converted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -232,7 +232,7 @@ def convert(spark: SparkSession, path: str) -> DataFrame:
                         continue
                     header, payload = http_parts(warc.block)
                     own = http_field(header, ID_HEADER)
-                    rows.append((warc.headers["WARC-Record-ID"], None if own is None else int(own), warc.headers["WARC-Payload-Digest"].removeprefix("sha1:"), len(payload), member(bytes(warc))))
+                    rows.append((warc.headers["WARC-Record-ID"], None if own is None else int(own), warc.headers["WARC-Payload-Digest"].removeprefix("sha1:"), len(payload), member(bytes(warc)) if records else None))
                     size += len(warc.block)
                     if size >= BLOCK_BYTES:
                         yield _converted(rows)
@@ -248,9 +248,9 @@ def _converted(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names=list(names))
 
 
-def write_warc(records: DataFrame, path: str, *, least_bytes: int = 0) -> None:
-    """``convert``'s rows as WARC archives. Of equal payloads of at least ``least_bytes`` the smallest page_id's is the response."""
-    equal = records.where(F.col("payload_bytes") >= least_bytes).where("page_id is not null").groupBy("payload_digest").agg(F.min(F.struct("page_id", "record_id")).alias("first"), F.count("*").alias("n")).where("n > 1")
+def write_warc(records: DataFrame, known: DataFrame, path: str, *, least_bytes: int = 0) -> None:
+    """``convert``'s rows as WARC archives; ``known`` are the same without the records. Of equal payloads of at least ``least_bytes`` the smallest page_id's is the response."""
+    equal = known.where(F.col("payload_bytes") >= least_bytes).where("page_id is not null").groupBy("payload_digest").agg(F.min(F.struct("page_id", "record_id")).alias("first"), F.count("*").alias("n")).where("n > 1")
     first = equal.select("payload_digest", F.col("first.page_id").alias("first_id"), F.col("first.record_id").alias("first_record"))
     decided = records.join(first, "payload_digest", "left").select("record", F.when(F.col("page_id") > F.col("first_id"), F.col("first_record")).alias("refers_to"))
 
@@ -285,10 +285,12 @@ def read_back(spark: SparkSession, path: str) -> DataFrame:
                     rows.append((warc.headers["WARC-Record-ID"], kind, None if own is None else int(own), None if kind == "revisit" else len(payload), digest, warc.headers.get("WARC-Refers-To")))
                 yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names=names)
 
-    found = _files(spark, path).mapInArrow(parsed, "record_id string, record_type string, page_id long, payload_bytes long, payload_digest string, target string")
-    targets = found.where("record_type <> 'revisit'").select(F.col("record_id").alias("target"), F.col("page_id").alias("refers_to"), F.col("payload_bytes").alias("known_bytes")).dropDuplicates(["target"])
-    revisits = found.where("record_type = 'revisit'").join(targets, "target", "left").select("page_id", F.col("known_bytes").alias("payload_bytes"), "payload_digest", "record_type", "refers_to")
-    return found.where("record_type <> 'revisit'").select("page_id", "payload_bytes", "payload_digest", "record_type", F.lit(None).cast("long").alias("refers_to")).union(revisits)
+    # parsed once; every record meets the response that it refers to, a response itself
+    _files(spark, path).mapInArrow(parsed, "record_id string, record_type string, page_id long, payload_bytes long, payload_digest string, target string").write.parquet(f"{path}-read")
+    found = spark.read.parquet(f"{path}-read").withColumn("target", F.coalesce("target", "record_id"))
+    responses = found.where("record_type <> 'revisit'").select("target", F.col("page_id").alias("response_id"), F.col("payload_bytes").alias("known_bytes")).dropDuplicates(["target"])
+    revisit = F.col("record_type") == "revisit"
+    return found.join(responses, "target", "left").select("page_id", F.col("known_bytes").alias("payload_bytes"), "payload_digest", "record_type", F.when(revisit, F.col("response_id")).alias("refers_to"))
 
 
 def archive(pages: DataFrame, *, least_bytes: int = 0, **columns: str) -> DataFrame:
@@ -296,5 +298,5 @@ def archive(pages: DataFrame, *, least_bytes: int = 0, **columns: str) -> DataFr
     spark = pages.sparkSession
     path = shared_path(spark, "archives")
     write_arc(pages, f"{path}/arc", **columns)
-    write_warc(convert(spark, f"{path}/arc"), f"{path}/warc", least_bytes=least_bytes)
+    write_warc(convert(spark, f"{path}/arc"), convert(spark, f"{path}/arc", records=False), f"{path}/warc", least_bytes=least_bytes)
     return read_back(spark, f"{path}/warc")
