@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from kasumi import values as V
 from kasumi.functions.text import category_rank, has_separator, jargon_caps, looks_like_code, nonperson_latin, normalize, vote_category
@@ -17,58 +18,66 @@ from kasumi.operators.spans import clusters, segments, without_overlaps
 RAW = "start int, end int, channel string, label string, category string, ord long"
 
 
-def emitted(raw: DataFrame, key: str = "doc_id") -> DataFrame:
-    """(key, cluster, start, end): the spans that candidates are made for.
+def grouped(raw: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Raw votes with their category and rank, their cluster of overlapping spans and its extent, and whether a dictionary's term (an anchor) is in it. One exchange, on the key."""
+    own = clusters(raw, [key]).withColumn("vote", vote_category(F.col("channel"), F.col("label"))).withColumn("rank", category_rank(F.col("vote")))
+    whole = Window.partitionBy(key, "cluster")
+    anchor = F.col("channel").isin(V.DICT, V.SESSION)
+    return own.withColumn("e_start", F.min("start").over(whole)).withColumn("e_end", F.max("end").over(whole)).withColumn("anchored", F.max(anchor).over(whole))
+
 
-    A cluster of overlapping votes is one span, unless terms of a dictionary (anchors) are in it: then each anchor is one, and so is each stretch of other votes that neither hold an anchor nor lie in one.
+def split_by_anchors(own: DataFrame, key: str = "doc_id") -> DataFrame:
+    """``grouped`` votes of anchored clusters beside each span that is made of theirs and that they overlap.
+
+    Each anchor is a span, and so is each stretch of other votes that neither hold an anchor nor lie in one.
     """
-    own = clusters(raw, [key])
-    anchored = F.col("channel").isin(V.DICT, V.SESSION)
-    flagged = own.groupBy(key, "cluster").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.max(anchored).alias("anchored"))
-    plain = flagged.where(~F.col("anchored")).select(key, "cluster", "start", "end")
-    anchors = own.where(anchored).select(key, "cluster", "start", "end").distinct()
-    m, a = own.where(~anchored).join(flagged.where("anchored").select(key, "cluster"), [key, "cluster"], "left_semi").alias("m"), anchors.alias("a")
+    votes = own.where("anchored").drop("e_start", "e_end")
+    is_anchor = F.col("channel").isin(V.DICT, V.SESSION)
+    anchors = votes.where(is_anchor).select(key, "cluster", "start", "end").distinct()
+    m, a = votes.where(~is_anchor).alias("m"), anchors.alias("a")
     same = (F.col(f"m.{key}") == F.col(f"a.{key}")) & (F.col("m.cluster") == F.col("a.cluster"))
     holds = (F.col("m.start") <= F.col("a.start")) & (F.col("a.end") <= F.col("m.end"))
     within = (F.col("a.start") <= F.col("m.start")) & (F.col("m.end") <= F.col("a.end"))
     left = m.join(a, same & (holds | within), "left_anti").select(key, "cluster", "start", "end")
-    return plain.union(anchors).union(segments(left, [key, "cluster"]).select(key, "cluster", "start", "end")).distinct()
-
-
-def gathered(raw: DataFrame, spans: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Emitted spans (with their surface) beside each vote that overlaps them: columns m_* are the vote's."""
-    own = clusters(raw, [key]).withColumn("vote", vote_category(F.col("channel"), F.col("label"))).withColumn("rank", category_rank(F.col("vote")))
-    e = spans.withColumn("code", looks_like_code(F.col("surface"))).withColumn("nonperson", nonperson_latin(F.col("surface"))).alias("e")
-    m = own.alias("m")
-    joined = e.join(m, (F.col(f"e.{key}") == F.col(f"m.{key}")) & (F.col("e.cluster") == F.col("m.cluster")) & (F.col("m.start") < F.col("e.end")) & (F.col("e.start") < F.col("m.end")))
-    return joined.select(*(F.col(f"e.{c}").alias(c) for c in (key, "start", "end", "surface", "code", "nonperson")), *(F.col(f"m.{c}").alias(f"m_{c}") for c in ("start", "end", "ord", "channel", "label", "category", "vote", "rank")))
+    spans = anchors.union(segments(left, [key, "cluster"]).select(key, "cluster", "start", "end")).distinct()
+    e, m = spans.select(F.col(key).alias("e_key"), F.col("cluster").alias("e_cluster"), F.col("start").alias("e_start"), F.col("end").alias("e_end")), votes
+    return m.join(e, (F.col(key) == F.col("e_key")) & (F.col("cluster") == F.col("e_cluster")) & (F.col("start") < F.col("e_end")) & (F.col("e_start") < F.col("end"))).drop("e_key", "e_cluster")
+
+
+def opinions(votes: DataFrame, key: str = "doc_id") -> DataFrame:
+    """A row per span (e_start, e_end): what each system says of it, in one aggregation."""
+    channel, vote, rank = F.col("channel"), F.col("vote"), F.col("rank")
+    place = F.struct("start", "end", "ord")
+    recogniser = ~channel.isin(*V.DECISIVE, V.LLM) & vote.isNotNull()
+    return votes.groupBy(key, F.col("e_start").alias("start"), F.col("e_end").alias("end")).agg(
+        F.max(recogniser & (vote == V.PERSON)).alias("person"),
+        F.max(recogniser & (vote == V.COMPANY)).alias("company"),
+        F.min(F.when(recogniser & ~vote.isin(V.PERSON, V.COMPANY), rank)).alias("rest"),
+        F.min(F.when((channel == V.LLM) & vote.isNotNull(), rank)).alias("llm"),
+        F.min_by(vote, F.when((channel == V.DICT) & vote.isNotNull(), place)).alias("listed"),
+        F.min_by("category", place).alias("fallback"),
+        F.collect_set(F.when(channel == V.SESSION, vote)).alias("confirmed"),
+        F.array_sort(F.collect_list(F.struct("start", "end", "ord", "channel", "label"))).alias("members"),
+    )
 
 
-def decided(pairs: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Candidates of ``gathered`` rows, in one aggregation.
+def decided(spans: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Candidates of ``opinions`` that have their surface.
 
     Each system gives its most important category; recognisers' votes for people or companies count as 'other' if the surface looks like code (for people also if it isn't in title case). A dictionary vote decides alone.
     """
-    channel, rank, vote = F.col("m_channel"), F.col("m_rank"), F.col("m_vote")
-    place = F.struct("m_start", "m_end", "m_ord")
-    other = V.CATEGORIES.index(V.OTHER)
-    doubtful = ((vote == V.PERSON) & (F.col("code") | F.col("nonperson"))) | ((vote == V.COMPANY) & F.col("code"))
-    ner = F.when(~channel.isin(*V.DECISIVE, V.LLM) & vote.isNotNull(), F.when(doubtful, F.lit(other)).otherwise(rank))
-    own = pairs.groupBy(key, "start", "end", "surface").agg(
-        F.min(ner).alias("ner"),
-        F.min(F.when((channel == V.LLM) & vote.isNotNull(), rank)).alias("llm"),
-        F.min_by(vote, F.when((channel == V.DICT) & vote.isNotNull(), place)).alias("listed"),
-        F.min_by("m_category", place).alias("fallback"),
-        F.collect_set(F.when(channel == V.SESSION, vote)).alias("confirmed"),
-        F.array_sort(F.collect_list(F.struct("m_start", "m_end", "m_ord", "m_channel", "m_label"))).alias("members"),
-    )
-    names, minor = F.array(*map(F.lit, V.CATEGORIES)), [V.CATEGORIES.index(V.PLACE), other]
+    ranks = {c: k for k, c in enumerate(V.CATEGORIES)}
+    other, minor = ranks[V.OTHER], [ranks[V.PLACE], ranks[V.OTHER]]
+    own = spans.withColumn("code", looks_like_code(F.col("surface"))).withColumn("nonperson", nonperson_latin(F.col("surface")))
+    person = F.when(F.col("person"), F.when(F.col("code") | F.col("nonperson"), F.lit(other)).otherwise(F.lit(ranks[V.PERSON])))
+    company = F.when(F.col("company"), F.when(F.col("code"), F.lit(other)).otherwise(F.lit(ranks[V.COMPANY])))
+    own = own.withColumn("ner", F.least(person, company, "rest"))
     special = (F.col("ner").isNotNull() & ~F.col("ner").isin(minor)).cast("int") + (F.col("llm").isNotNull() & ~F.col("llm").isin(minor)).cast("int")
-    best = F.least("ner", "llm")  # null only if both are
-    own = own.select(key, "start", "end", "surface", "listed", "confirmed", "members", best.alias("best"), special.alias("special"), F.coalesce(F.get(names, best), "fallback", F.lit(V.OTHER)).alias("found"))
+    own = own.withColumn("best", F.least("ner", "llm")).withColumn("special", special)  # best is null only if both are
+    own = own.withColumn("found", F.coalesce(F.get(F.array(*map(F.lit, V.CATEGORIES)), "best"), "fallback", F.lit(V.OTHER)))
     level = F.when(F.col("best").isNull(), V.MEDIUM).when(F.col("special") >= 2, V.STRONG).when(F.col("special") == 1, V.MEDIUM).otherwise(V.WEAK)
     strong = ~F.col("found").isin(V.PLACE, V.OTHER) & F.array_contains("confirmed", F.col("found"))
-    votes = F.array_distinct(F.transform("members", lambda m: F.struct(m["m_channel"].alias("channel"), m["m_label"].alias("label"))))
+    votes = F.array_distinct(F.transform("members", lambda m: F.struct(m["channel"].alias("channel"), m["label"].alias("label"))))
     return own.select(key, "start", "end", "surface", F.coalesce("listed", "found").alias("category"), F.when(F.col("listed").isNotNull(), V.SURE).when(strong, V.STRONG).otherwise(level).alias("confidence"), votes.alias("votes"))
 
 
@@ -78,9 +87,13 @@ def with_surfaces(spans: DataFrame, docs: DataFrame, *, key: str = "doc_id", tex
     return found.withColumn("surface", F.substring("__text", (F.col("start") + 1).cast("int"), (F.col("end") - F.col("start")).cast("int"))).drop("__text")
 
 
-def resolve(raw: DataFrame, docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Raw votes to candidates."""
-    return decided(gathered(raw, with_surfaces(emitted(raw, key), docs, key=key, text=text), key), key)
+def resolve(raw: DataFrame, docs: DataFrame, *, key: str = "doc_id", text: str = "text", anchored: bool = True) -> DataFrame:
+    """Raw votes to candidates: a cluster is one, or several if there are anchors in it. ``anchored``: False if there can't be any."""
+    own = grouped(raw, key)
+    found = opinions(own.where(~F.col("anchored")) if anchored else own, key)
+    if anchored:
+        found = found.union(opinions(split_by_anchors(own, key), key))
+    return decided(with_surfaces(found, docs, key=key, text=text), key)
 
 
 def promotable(candidates: DataFrame, extra: DataFrame | None = None, *, key: str = "doc_id") -> DataFrame:

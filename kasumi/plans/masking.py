@@ -96,7 +96,7 @@ class Masking:
         if votes is None:
             votes = texts.sparkSession.createDataFrame([], f"doc_id {texts.schema['doc_id'].dataType.simpleString()}, {consensus.RAW}")
         votes = settled(votes)
-        candidates = consensus.resolve(votes, texts)
+        candidates = consensus.resolve(votes, texts, anchored=bool(self.dictionary))
         if self.promote:
             terms = settled(consensus.promotable(candidates, extra_terms))
             again = _listed(match_by_document(words, terms), V.SESSION, V.SESSION_SUFFIX, 2)

@@ -293,7 +293,7 @@ DEMOTED_SQL = f"case when confidence in ('{V.MEDIUM}', '{V.WEAK}') and not ident
 
 def resolved(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
-    return consensus.resolve(votes(docs), docs)
+    return consensus.resolve(votes(docs), docs, anchored=False)
 
 
 @query(f'with {CANDIDATES_SQL} select doc_id, start, "end", surface, category, confidence, votes from candidates')
