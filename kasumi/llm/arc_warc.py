@@ -57,7 +57,7 @@ class ArcRecord:
     block: bytes
 
 
-def member(raw: bytes, level: int = 6) -> bytes:
+def member(raw: bytes, level: int = 4) -> bytes:
     packer = zlib.compressobj(level, zlib.DEFLATED, 31)
     return packer.compress(raw) + packer.flush()
 
@@ -214,7 +214,7 @@ def write_arc(pages: DataFrame, path: str, *, id_col: str = "page_id", url_col:
                     yield arc_record(version, quote(url or "urn:unknown", safe="%/:=&?~#+!$,;'@()*[]-._"), head.encode() + payload)
 
             for block in _blocks(records()):  # an archive of its own, compressed in one
-                yield _as_batch([member(arc_version_block(version, f"pages-{version}.arc") + block, 4)])
+                yield _as_batch([member(arc_version_block(version, f"pages-{version}.arc") + block, 3)])
 
     _write(pages.select(F.col(id_col).cast("long").alias("id"), url_col, payload_col).mapInArrow(written, "block binary"), path)
 
