@@ -7,7 +7,7 @@ place in the order of producers, which decides between equals. Candidates are ro
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -71,7 +71,7 @@ def decided(spans: DataFrame, key: str = "doc_id") -> DataFrame:
     own = spans.withColumn("code", looks_like_code(F.col("surface"))).withColumn("nonperson", nonperson_latin(F.col("surface")))
     person = F.when(F.col("person"), F.when(F.col("code") | F.col("nonperson"), F.lit(other)).otherwise(F.lit(ranks[V.PERSON])))
     company = F.when(F.col("company"), F.when(F.col("code"), F.lit(other)).otherwise(F.lit(ranks[V.COMPANY])))
-    own = own.withColumn("ner", F.least(person, company, "rest"))
+    own = once(own, "ner", F.least(person, company, "rest"))
     special = (F.col("ner").isNotNull() & ~F.col("ner").isin(minor)).cast("int") + (F.col("llm").isNotNull() & ~F.col("llm").isin(minor)).cast("int")
     own = own.withColumn("best", F.least("ner", "llm")).withColumn("special", special)  # best is null only if both are
     own = own.withColumn("found", F.coalesce(F.get(F.array(*map(F.lit, V.CATEGORIES)), "best"), "fallback", F.lit(V.OTHER)))
@@ -81,10 +81,15 @@ def decided(spans: DataFrame, key: str = "doc_id") -> DataFrame:
     return own.select(key, "start", "end", "surface", F.coalesce("listed", "found").alias("category"), F.when(F.col("listed").isNotNull(), V.SURE).when(strong, V.STRONG).otherwise(level).alias("confidence"), votes.alias("votes"))
 
 
+def once(rows: DataFrame, name: str, value: Column) -> DataFrame:
+    """With a column that is computed once a row: expressions aren't copied through a generator, while through a projection each use would compute it anew."""
+    return rows.select(*(c for c in rows.columns if c != name), F.explode(F.array(value)).alias(name))
+
+
 def with_surfaces(spans: DataFrame, docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Spans with what the text has there; texts meet the spans of their own document only."""
     found = spans.join(docs.select(key, F.col(text).alias("__text")), key)
-    return found.withColumn("surface", F.substring("__text", (F.col("start") + 1).cast("int"), (F.col("end") - F.col("start")).cast("int"))).drop("__text")
+    return once(found, "surface", F.substring("__text", (F.col("start") + 1).cast("int"), (F.col("end") - F.col("start")).cast("int"))).drop("__text")
 
 
 def resolve(raw: DataFrame, docs: DataFrame, *, key: str = "doc_id", text: str = "text", anchored: bool = True) -> DataFrame:
