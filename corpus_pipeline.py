@@ -13,13 +13,13 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kasumi.llm import cdc, mixture_lid, ordinal, packing, simhash
+from kasumi.llm import cdc, mixture_lid, near_copies, ordinal, packing
 from kasumi.llm.common import shared_path, table
 
 #: Documents of these columns go from stage to stage.
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-#: Near copies: lanes of 64 bits over a document's distinct words, of which one differs in at most so many bits; sketch lanes over its five-word shingles, and the similarity that they must show.
-NEAR = {"lanes": 6, "radius": 3, "words": 5, "sketch_lanes": 8, "similarity": 0.8}
+#: Near copies: words of a shingle, and the Jaccard similarity that two documents' shingles must have.
+NEAR = {"words": 5, "similarity": 0.8}
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,7 +39,7 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents that are near copies of each other, that with the smallest id."""
-    return simhash.keep_first(docs.select(*COLUMNS), **NEAR)
+    return near_copies.keep_first(docs.select(*COLUMNS), **NEAR)
 
 
 def no_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

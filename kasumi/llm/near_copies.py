@@ -1,0 +1,148 @@
+"""Near copies by the Jaccard similarity of word shingles: candidates by min-wise bands, judged on the whole sets.
+
+A document is the set of its distinct runs of ``words`` words. Of ``ROWS`` random
+orders of all shingles a band notes each one's first shingle in the set; two sets
+with similarity s agree in a band with probability s**ROWS, wherever in the text
+they differ, and meet if they agree in any of ``BANDS``. At 0.8 that is missed with
+probability 0.0017, at 0.85 with 0.0001. What meets is compared exactly, as sets of
+64-bit hashes.
+
+Equal sets are one node, so copies cost nothing; sets are made again only of texts
+that meet another, and of links only a spanning forest leaves a task. A bucket
+beyond ``BUCKET_SHINGLES`` is dealt out by pairs of blocks, which loses no pair.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from kasumi.llm.common import shared_path, strings
+from kasumi.llm.components import connected
+from kasumi.llm.simhash import SEED, Forest, first_of, shingles
+
+#: Bands, and first shingles in each.
+BANDS, ROWS = 16, 5
+#: Shingles (of 8 bytes) that a task should have, and that a bucket may have before it is dealt out.
+SHARD_SHINGLES, BUCKET_SHINGLES = 2_000_000, 6_000_000
+#: Shingles that are looked up, or sent, at once.
+STEP = 1_000_000
+ORDERS = np.random.default_rng(SEED).integers(0, 2**64, (2, BANDS * ROWS), dtype=np.uint64)
+
+
+def hashed(text: str, words: int) -> np.ndarray:
+    """The XXH64 of a text's distinct shingles, in order."""
+    digest = xxhash.xxh64_digest
+    return np.unique(np.frombuffer(b"".join([digest(x, SEED) for x in shingles(text, words, False)]), ">u8").astype(np.uint64))
+
+
+def lanes(own: np.ndarray) -> list[int]:
+    """A signed long for each band, equal where all its first shingles are; no two bands share them."""
+    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max)
+    for at in range(0, len(own), 4096):
+        least = np.minimum(least, ((own[at : at + 4096, None] ^ ORDERS[0]) * (ORDERS[1] | np.uint64(1))).min(axis=0))
+    return np.array([xxhash.xxh64_intdigest(x.tobytes(), k) for k, x in enumerate(least.reshape(BANDS, ROWS))], np.uint64).view(np.int64).tolist()
+
+
+def prints(docs: DataFrame, *, words: int, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, own, size, lanes): what equal sets share, the number of shingles, a long for each band."""
+
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [(xxhash.xxh3_128_digest(own.tobytes()), len(own), lanes(own)) for own in (hashed(x, words) for x in strings(batch, text_col))]
+            own, size, wide = zip(*found, strict=True) if found else ((), (), ())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(own, pa.binary()), pa.array(size, pa.int64()), pa.array(wide, pa.list_(pa.int64()))], names=["doc_id", "own", "size", "lanes"])
+
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_col).mapInArrow(made, "doc_id long, own binary, size long, lanes array<long>")
+
+
+def similar(one: np.ndarray, others: list[np.ndarray], similarity: float) -> np.ndarray:
+    """Which of the sets have at least that Jaccard similarity with the first; none is empty."""
+    sizes = np.array([len(x) for x in others])
+    flat = np.concatenate(others)
+    there = one[np.minimum(np.searchsorted(one, flat), len(one) - 1)] == flat
+    common = np.add.reduceat(there.astype(np.int64), np.cumsum(sizes) - sizes)
+    return common >= similarity * (len(one) + sizes - common) - 1e-9
+
+
+def join_bucket(forest: Forest, nodes: np.ndarray, sets: list[np.ndarray], similarity: float) -> None:
+    """Links all similar pairs of a bucket that nothing else links yet."""
+    sizes = np.array([len(x) for x in sets])
+    for k in range(len(nodes) - 1):
+        rest = np.arange(k + 1, len(nodes))
+        able = np.minimum(sizes[rest], sizes[k]) >= similarity * np.maximum(sizes[rest], sizes[k]) - 1e-9
+        rest = rest[able & (forest.label[nodes[rest]] != forest.label[nodes[k]])]
+        step = max(1, STEP // max(1, int(sizes[rest].max(initial=1))))
+        for at in range(0, len(rest), step):
+            some = rest[at : at + step]
+            near = nodes[some[similar(sets[k], [sets[j] for j in some], similarity)]]
+            forest.link(np.full(len(near), nodes[k]), near)
+
+
+def _links(docs: DataFrame, met: DataFrame, shards: int, words: int, similarity: float, id_col: str, text_col: str) -> DataFrame:
+    """(a, b): a spanning forest, in each task, of the similar pairs that meet there."""
+
+    def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def sent() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in list(zip(*out, strict=True))[:4]), pa.array([x[4] for x in out], pa.binary())], names=["shard", "pair", "bucket", "rep", "shingles"])
+
+        out, held = [], 0
+        for batch in batches:
+            for rep, own, buckets, text in zip(*(batch.column(c).to_pylist() for c in ("rep", "own", "buckets")), strings(batch, "text"), strict=True):
+                raw = hashed(text, words).tobytes()
+                if xxhash.xxh3_128_digest(raw) != own:  # another text with this id
+                    continue
+                for at in buckets:
+                    bucket, total = at["bucket"], at["total"]
+                    blocks = -(-total // (BUCKET_SHINGLES // 2)) if total > BUCKET_SHINGLES else 1
+                    mine = int.from_bytes(own[:8]) % blocks
+                    for other in range(blocks):
+                        out.append((bucket % shards if blocks == 1 else -1 - (bucket & (1 << 62) - 1), min(mine, other) * blocks + max(mine, other), bucket, rep, raw))
+                        held += len(raw) // 8
+                        if held > STEP:
+                            yield sent()
+                            out, held = [], 0
+        if out:
+            yield sent()
+
+    def joined(shard: pa.Table) -> pa.Table:
+        rep, at = np.unique(shard.column("rep").to_numpy(), return_inverse=True)  # so that a label is the smallest id
+        bucket = shard.column("bucket").to_numpy()
+        sets = [np.frombuffer(x, np.uint64) for x in shard.column("shingles").to_pylist()]
+        order = np.lexsort((at, bucket))
+        forest = Forest(len(rep))
+        for rows in np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1):
+            join_bucket(forest, at[rows], [sets[k] for k in rows], similarity)
+        linked = forest.label != np.arange(len(rep))
+        return pa.table({"a": rep[linked], "b": rep[forest.label[linked]]})
+
+    texts = docs.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).alias("text"))
+    rows = met.join(texts, "rep").select("rep", "own", "buckets", "text").mapInArrow(dealt, "shard long, pair long, bucket long, rep long, shingles binary")
+    return rows.groupBy("shard", "pair").applyInArrow(lambda table: joined(table), "a long, b long")
+
+
+def keep_first(docs: DataFrame, *, words: int, similarity: float, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of each group of near copies, that of the smallest id. Rows without an id stay.
+
+    Texts without a word are copies of each other, as are those of fewer than ``words`` words only if all are the same; rows that repeat an id are one; an empty table gives no rows.
+    """
+    spark, path = docs.sparkSession, shared_path(docs.sparkSession, "near-copies")
+    prints(docs, words=words, id_col=id_col, text_col=text_col).write.parquet(f"{path}/all")
+    known = spark.read.parquet(f"{path}/all").where("doc_id is not null")
+    known.groupBy("own", "size", "lanes").agg(F.min("doc_id").alias("rep")).write.parquet(f"{path}/distinct")
+    distinct = spark.read.parquet(f"{path}/distinct")
+    held = distinct.select("rep", "own", "size", F.explode("lanes").alias("bucket"))
+    shared = held.groupBy("bucket").agg(F.count("*").alias("n"), F.sum("size").alias("total")).where("n > 1").select("bucket", "total")
+    held.join(shared, "bucket").groupBy("rep", "own", "size").agg(F.collect_list(F.struct("bucket", "total")).alias("buckets")).write.parquet(f"{path}/met")
+    met = spark.read.parquet(f"{path}/met")
+    weight = met.agg(F.sum(F.col("size") * F.size("buckets"))).first()[0] or 0
+    links = _links(docs, met, -(-weight // SHARD_SHINGLES), words, similarity, id_col, text_col) if weight else spark.createDataFrame([], "a long, b long")
+    roots = connected(links, "a", "b")
+    named = distinct.join(roots, distinct["rep"] == roots["node"], "left").select("own", F.coalesce("root", "rep").alias("component_id"))
+    lost = known.select("doc_id", "own").join(named, "own").where("component_id <> doc_id").select(F.col("doc_id").alias("__lost")).distinct()
+    return first_of(docs, lost, id_col)

@@ -297,14 +297,19 @@ def near_components(prints: DataFrame, *, radius: int = 2, limit: int = 0) -> Da
     return found.select("doc_id", *names, F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
 
 
+def first_of(docs: DataFrame, lost: DataFrame, id_col: str) -> DataFrame:
+    """The rows whose ids are not lost (column __lost), one for each id; rows without an id stay."""
+    kept = docs.join(lost, F.col(id_col).cast("long") == F.col("__lost"), "left_anti")
+    repeated = docs.groupBy(id_col).agg(F.count("*").alias("n")).where(F.col("n") > 1).where(F.col(id_col).isNotNull())
+    return kept if repeated.isEmpty() else kept.where(F.col(id_col).isNotNull()).dropDuplicates([id_col]).union(kept.where(F.col(id_col).isNull()))
+
+
 def keep_first(docs: DataFrame, *, lanes: int, radius: int, words: int, sketch_lanes: int, similarity: float, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of each group of near copies, that of the smallest id. Rows without an id stay."""
     prints = sketches(docs, lanes=lanes, words=words, sketch_lanes=sketch_lanes, id_col=id_col, text_col=text_col)
     found = near_components(prints, radius=radius, limit=bits_apart(similarity, 64 * sketch_lanes))
     lost = found.where("component_id <> doc_id").select(F.col("doc_id").alias("__lost")).distinct()
-    kept = docs.join(lost, F.col(id_col).cast("long") == F.col("__lost"), "left_anti")
-    repeated = docs.groupBy(id_col).agg(F.count("*").alias("n")).where(F.col("n") > 1).where(F.col(id_col).isNotNull())
-    return kept if repeated.isEmpty() else kept.where(F.col(id_col).isNotNull()).dropDuplicates([id_col]).union(kept.where(F.col(id_col).isNull()))
+    return first_of(docs, lost, id_col)
 
 
 def hexed(lane: str) -> Column:
