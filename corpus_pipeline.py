@@ -23,9 +23,11 @@ NEAR = {"words": 5, "similarity": 0.8}
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a language; those without a letter go."""
+    """Documents whose text fits the languages that are learnt; those without a letter go. Where no document names its language, all with a letter stay."""
     model = mixture_lid.learn(docs)
-    found = mixture_lid.predict(docs, model, keep=COLUMNS)
+    if not model.languages:
+        return docs.where(F.col("text").rlike(r"\p{L}")).select(*COLUMNS)
+    found = mixture_lid.predict(docs, model, keep=COLUMNS, least=mixture_lid.LEAST_LIKENESS)
     return found.where(F.col("lang_pred") != mixture_lid.UNKNOWN).select(*COLUMNS)
 
 

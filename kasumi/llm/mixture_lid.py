@@ -8,6 +8,11 @@ sets made of the most likely language, the two most likely ones and so on, the
 one with the best penalised likelihood is kept, and the language with the largest
 proportion in it is the prediction.
 
+A text's likeness says how far its n-grams are from chance: 0 if they are as likely,
+under the languages chosen and in their proportions, as n-grams in random buckets,
+1 if as likely as those that the languages were learnt from. Where a least likeness
+is asked for, a text below it is ``und``; one of less than a window is not judged.
+
 Models are fitted on at most about ``TRAIN_ROWS`` documents of each language,
 those of the smallest hashes of their ids.
 
@@ -36,6 +41,8 @@ TRAIN_ROWS, BITS, WINDOW, TEMPER = 4_000, 17, 24, 4.0
 #: Rounds of expectation-maximisation; pseudo-windows shared by all languages; languages a set has at most; likelihood that one more language must bring.
 ROUNDS, PRIOR, LARGEST_SET, PENALTY = 12, 0.5, 4, 3.0
 UNKNOWN = "und"
+#: The likeness below which a text fits no language: twice what random letters reach.
+LEAST_LIKENESS = 0.04
 LETTER = regex.compile(r"\p{L}")
 #: Bytes kept as they are: small letters and all beyond ASCII; the others part words.
 KEPT = np.array([b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256)], dtype=np.uint8)
@@ -75,6 +82,10 @@ class Model:
 
     def mixtures(self, texts: list[str]) -> np.ndarray:
         """Texts by languages: the proportions, zero for languages outside the set chosen."""
+        return self.judged(texts)[0]
+
+    def judged(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The mixtures and each text's likeness."""
         n, bits = len(self.languages), int(self.table.shape[0]).bit_length() - 1
         buckets, starts = grams(texts, bits)
         sizes = np.diff(starts)
@@ -127,7 +138,11 @@ class Model:
                 left = left[better]
             if not len(left):
                 break
-        return chosen
+        chance = self.table.mean(axis=0, dtype=np.float64)
+        learnt = (np.exp(self.table) * self.table).sum(axis=0, dtype=np.float64)
+        each = np.add.reduceat(logs, first, axis=0) * TEMPER / np.maximum(sizes, 1)[:, None]
+        likeness = (chosen / chosen.sum(axis=1, keepdims=True) * (each - chance) / np.maximum(learnt - chance, 1e-9)).sum(axis=1)
+        return chosen, np.where(sizes < WINDOW, 1.0, likeness)
 
 
 def learn(docs: DataFrame, *, usable: Column | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows: int = TRAIN_ROWS, bits: int = BITS) -> Model:
@@ -163,8 +178,8 @@ def learn(docs: DataFrame, *, usable: Column | None = None, id_col: str = "doc_i
     return Model.fit(counts)
 
 
-def predict(docs: DataFrame, model: Model, *, keep: list[str], text_col: str = "text") -> DataFrame:
-    """The kept columns, lang_pred, score (its proportion) and languages (the set chosen, largest first), which take the places of columns of those names."""
+def predict(docs: DataFrame, model: Model, *, keep: list[str], text_col: str = "text", least: float | None = None) -> DataFrame:
+    """The kept columns, lang_pred, score (its proportion) and languages (the set chosen, largest first), which take the places of columns of those names. Texts with a likeness under ``least`` are ``und``."""
     keep = [c for c in keep if c not in ("lang_pred", "score", "languages")]
     held = docs.sparkSession.sparkContext.broadcast(model)  # languages x 2**BITS x 4 bytes, whatever the input
     kept = docs.select(*keep).schema
@@ -178,7 +193,9 @@ def predict(docs: DataFrame, model: Model, *, keep: list[str], text_col: str = "
             lettered = np.array([k for k, x in enumerate(texts) if model.languages and LETTER.search(x)], dtype=np.int64)
             known = [texts[k] for k in lettered]
             for run in runs(known):
-                some, mixture = lettered[run], model.mixtures(known[run])
+                some, (mixture, likeness) = lettered[run], model.judged(known[run])
+                if least is not None:
+                    some, mixture = some[likeness >= least], mixture[likeness >= least]
                 found[some], score[some] = mixture.argmax(axis=1), np.clip(mixture.max(axis=1), 0, 1)
                 for k, own in zip(some, mixture, strict=True):
                     sets[k] = [names[x] for x in np.argsort(-own, kind="stable") if own[x] > 0]
