@@ -25,6 +25,8 @@ from kasumi.operators.spans import leftmost_longest
 BROADCAST_TERMS = 200_000
 #: Words of Latin letters and digits, runs of one Japanese script, other characters alone.
 TOKEN = r"[A-Za-z0-9À-ÖØ-öø-ɏ]+|[ぁ-ゖ]+|[ァ-ヺー]+|[㐀-䶿一-鿿]+|\S"
+#: Distinct tokens of which a task remembers what they hold.
+REMEMBERED = 50_000
 
 
 @dataclass(frozen=True)
@@ -197,13 +199,25 @@ def match_embedded(tokenized_docs: DataFrame, dictionary: Dictionary, *, key: st
     terms = {k: (t.canonical, t.category) for k, t in dictionary.keys().items() if t.embed}
     longest = max(map(len, terms), default=0)
 
+    seen: dict[str, list[tuple[int, int, str, str]]] = {}  # a task's tokens so far, at most REMEMBERED
+
+    def inside(token: str) -> Iterator[tuple[int, int, str, str]]:
+        subs = [m.span() for m in re.finditer(V.SUBWORD, token)]
+        if len(subs) > 1:
+            for i, j, value in longest_matches([key_of(token[x:y]) for x, y in subs], terms, longest):
+                yield subs[i][0], subs[j - 1][1], *value
+
     def find(text: str, starts: list[int], ends: list[int], _: object) -> Iterator[tuple[int, int, str, str]]:
         for a, b in zip(starts, ends, strict=True):
-            subs = [m.span() for m in re.finditer(V.SUBWORD, text[a:b])]
-            if len(subs) > 1:
-                units = [key_of(text[a + x : a + y]) for x, y in subs]
-                for i, j, value in longest_matches(units, terms, longest):
-                    yield a + subs[i][0], a + subs[j - 1][1], *value
+            found = seen.get(token := text[a:b])
+            if found is None:
+                if len(seen) >= REMEMBERED:
+                    seen.clear()
+                found = list(inside(token))
+                if b - a <= 64:
+                    seen[token] = found
+            for x, y, canonical, category in found:
+                yield a + x, a + y, canonical, category
 
     return _scan(tokenized_docs, key, find)
 
