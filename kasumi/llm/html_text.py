@@ -35,8 +35,10 @@ WIDEST, MOST_SPANNED = 60, 1000
 # Fixed values of HTML: kinds of elements.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes plaintext".split())
-UNSEEN = frozenset("head script style template title noscript noframes noembed iframe object audio video canvas datalist rp param source track link meta base area map svg math".split())
-BLOCKS = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li listing main menu nav ol optgroup option p plaintext pre search section summary table ul xmp caption thead tbody tfoot tr".split())
+UNSEEN = frozenset("head script style template title noscript noframes noembed iframe object audio video canvas datalist rp param source track link meta base area map".split())
+#: What svg and math hold but do not show.
+FOREIGN_UNSEEN = frozenset("annotation annotation-xml clippath defs desc filter lineargradient marker mask metadata pattern radialgradient symbol".split())
+BLOCKS = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li listing main menu nav ol optgroup option p plaintext pre search section summary table ul xmp caption thead tbody tfoot tr svg-text".split())
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl menu dir blockquote pre figure table hr fieldset listing xmp plaintext".split())
 CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr li dd dt listing main menu nav ol p pre search section summary table ul xmp plaintext".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
@@ -60,9 +62,15 @@ ENDS = {
     "a": ({"a"}, SCOPES),
     "body": ({"head"}, {"html"}),
 }
-START = re.compile(r"<([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>")
+# Attributes as browsers cut them: a quote opens a value only after "=", elsewhere it is part of a name or a value.
+NAME = r"[^ \t\n\f\r/>][^ \t\n\f\r/>=]*+"
+EQUALS = r"[ \t\n\f\r]*+=[ \t\n\f\r]*+"
+UNQUOTED = r"[^ \t\n\f\r>\"'][^ \t\n\f\r>]*+"
+START = re.compile(rf"<([a-zA-Z][^ \t\n\f\r/>]*+)((?:[ \t\n\f\r/]++|{NAME}(?:{EQUALS}(?:\"[^\"]*+\"|'[^']*+'|{UNQUOTED}|(?=>))|(?!{EQUALS})))*+)>")
 END = re.compile(r"</([a-zA-Z][^\s/>]*)[^>]*>")
-ATTRIBUTE = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'=<>`]+)))?")
+ATTRIBUTE = re.compile(rf"({NAME})(?:{EQUALS}(?:\"([^\"]*+)\"|'([^']*+)'|({UNQUOTED})|))?")
+#: The end tag of each raw element.
+RAW_END = {tag: re.compile(rf"</{tag}(?=[ \t\n\f\r/>])", re.I | re.A) for tag in RAW}
 HIDING = re.compile(r"([^{}]*)\{[^{}]*\bdisplay\s*:\s*none\b[^{}]*\}", re.I)
 COMMENT = re.compile(r"/\*.*?\*/", re.S)
 SIMPLE = re.compile(r"^(?:[a-z][\w-]*|[.#][\w-]+)$", re.I)
@@ -94,6 +102,7 @@ class Builder:
         self.root = Node("html")
         self.stack = [self.root]
         self.sheets: list[str] = []
+        self.drawn = False  # whether svg or math was ever opened
 
     def _end(self, wanted: frozenset[str] | set[str], until: frozenset[str] | set[str]) -> bool:
         for k in range(len(self.stack) - 1, 0, -1):
@@ -118,7 +127,17 @@ class Builder:
                 return
         top.children.append(raw)
 
+    def foreign(self) -> bool:
+        """Whether svg or math is open, and no HTML inside it."""
+        return self.drawn and next((x.tag in ("svg", "math") for x in reversed(self.stack) if x.tag in ("svg", "math", "foreignobject")), False)
+
     def start(self, tag: str, attrs: dict[str, str], closed: bool) -> None:
+        if self.foreign():
+            attrs = attrs | {"hidden": ""} if tag in FOREIGN_UNSEEN else attrs
+            if closed:
+                self.stack[-1].children.append(Node(tag, attrs, self.stack[-1]))
+                return
+            tag = "svg-text" if tag == "text" else tag
         if tag in ("html", "body") and (tag == "html" or any(x.tag == "body" for x in self.stack)):
             self.stack[0].attrs = attrs | self.stack[0].attrs if tag == "html" else self.stack[0].attrs
             return
@@ -142,11 +161,13 @@ class Builder:
     def _open(self, tag: str, attrs: dict[str, str]) -> None:
         while len(self.stack) > DEEPEST:
             self.stack.pop()
+        self.drawn = self.drawn or tag in ("svg", "math")
         node = Node(tag, attrs, self.stack[-1])
         self.stack[-1].children.append(node)
         self.stack.append(node)
 
     def end(self, tag: str) -> None:
+        tag = "svg-text" if tag == "text" and self.foreign() else tag
         if tag == "br":
             self.start("br", {}, False)
         elif tag == "p":
@@ -166,7 +187,6 @@ class Builder:
 def parse(html: str) -> Builder:
     """The tree of a page."""
     tree, at, size = Builder(), 0, len(html)
-    lowered: str | None = None
     while at < size:
         begin = html.find("<", at)
         if begin < 0:
@@ -196,10 +216,11 @@ def parse(html: str) -> Builder:
                 break
             tag, raw = found[1].lower(), found[2]
             at = found.end()
-            tree.start(tag, attributes(raw) if raw.strip(" /\n") else {}, raw.endswith("/"))
-            if tag in RAW:
-                lowered = html.lower() if lowered is None else lowered
-                stop = lowered.find(f"</{tag}", at) if tag != "plaintext" else -1
+            closed = raw.endswith("/")
+            tree.start(tag, attributes(raw) if raw.strip(" /\n") else {}, closed)
+            if tag in RAW and not (closed and tree.foreign()):
+                ended = RAW_END[tag].search(html, at) if tag != "plaintext" else None
+                stop = ended.start() if ended else -1
                 inner = html[at:] if stop < 0 else html[at:stop]
                 if tag == "style":
                     tree.sheets.append(inner)
