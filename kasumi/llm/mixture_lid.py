@@ -38,8 +38,8 @@ from kasumi.llm.common import runs, strings
 
 #: Documents of a language to learn from; hash buckets; n-grams in a window; their overlap.
 TRAIN_ROWS, BITS, WINDOW, TEMPER = 4_000, 17, 24, 4.0
-#: Rounds of expectation-maximisation; pseudo-windows shared by all languages; languages a set has at most; likelihood that one more language must bring.
-ROUNDS, PRIOR, LARGEST_SET, PENALTY = 12, 0.5, 4, 3.0
+#: Rounds of expectation-maximisation; pseudo-windows shared by all languages; likelihood that one more language must bring.
+ROUNDS, PRIOR, PENALTY = 12, 0.5, 3.0
 UNKNOWN = "und"
 #: The likeness below which a text fits no language: twice what random letters reach.
 LEAST_LIKENESS = 0.04
@@ -122,7 +122,7 @@ class Model:
         order = np.argsort(-share, axis=1, kind="stable")
         chosen, best = np.zeros((len(texts), n)), np.full(len(texts), -np.inf)
         left = everyone
-        for size in range(1, min(n, LARGEST_SET) + 1):
+        for size in range(1, n + 1):
             allowed = np.zeros((len(left), n))
             np.put_along_axis(allowed, order[left][:, :size], 1.0, axis=1)
             some, likely = solve(left, allowed)
@@ -131,11 +131,9 @@ class Model:
             chosen[left[better]], best[left[better]] = some[better], value[better]
             if size == 1:
                 # one window tells nothing of a mixture; its doubt is that of all languages
-                left = everyone[(np.take_along_axis(share, order[:, 1:2], axis=1)[:, 0] if n > 1 else 0 * best) > 0.02]
                 alone = chosen > 0
                 chosen[alone] = share[alone]
-            else:
-                left = left[better]
+            left = left[better]
             if not len(left):
                 break
         chance = self.table.mean(axis=0, dtype=np.float64)
