@@ -147,18 +147,29 @@ def test_fingerprints_of_texts(spark):
     assert got == {k: f"{plain(t):016x}" for k, t in enumerate(texts)} | {99: "0" * 16}
 
 
-def test_one_of_each_group_stays(spark):
-    rng = random.Random(5)
-    text = " ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(300))
-    words = text.split()
-    near = " ".join([*words[:150], "changed", *words[151:]])
-    far = " ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(300))
-    rows = [(5, text, "a"), (9, near, "b"), (7, text.upper(), "c"), (3, far, "d"), (11, far, "e"), (None, text, "f"), (12, "", "g"), (13, None, "h"), (3, far, "d")]
-    df = spark.createDataFrame(rows, "doc_id long, text string, s0 string")
-    options = {"lanes": 6, "radius": 3, "words": 5, "sketch_lanes": 8, "similarity": 0.8}
-    got = sorted(((r.doc_id, r.s0) for r in simhash.keep_first(df, **options).collect()), key=repr)
-    assert got == sorted([(5, "a"), (3, "d"), (None, "f"), (12, "g")], key=repr)
-    assert simhash.keep_first(df.limit(0), **options).count() == 0
+def test_ids_that_repeat_are_one_node(spark):
+    df = spark.createDataFrame([(7, 0), (7, -1), (3, 1), (9, -2), (5, 255 << 20), (5, 255 << 20), (None, 0)], "doc_id long, s0 long")
+    got = sorted(((r.doc_id, r.s0, r.component_id) for r in simhash.near_components(df).collect()), key=repr)
+    assert got == sorted([(7, 0, 3), (7, -1, 3), (3, 1, 3), (9, -2, 3), (5, 255 << 20, 5), (5, 255 << 20, 5), (None, 0, None)], key=repr)
+    assert simhash.near_components(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("radius", [1, 2])
+def test_shards_dealt_again_lose_no_pair(spark, monkeypatch, radius):
+    """A top of few leaves leaves large shards; trees of their own deal them again."""
+    monkeypatch.setattr(simhash, "SAMPLE", 200)
+    monkeypatch.setattr(simhash, "SHARD_TARGET", 100)
+    monkeypatch.setattr(simhash, "SHARD_ROWS", 150)
+    prints = np.concatenate([cloud(3, 400), np.random.default_rng(9).integers(0, 2**64, 1500, dtype=np.uint64)])
+    df = spark.createDataFrame([(k, int(p)) for k in (0, 3) for p in np.unique(prints).view(np.int64)], "lane long, s long")
+    found = {}
+    for r in simhash.near_groups(df, radius).collect():
+        found.setdefault((r.lane, r.root), set()).add(np.int64(r.s).view(np.uint64))
+    near = lambda a, b: np.bitwise_count(a ^ b) <= radius
+    together = {(lane, x, y) for (lane, _), members in found.items() for x in members for y in members}
+    own = np.unique(prints)
+    a, b = np.nonzero(np.triu(near(own[:, None], own[None, :]), 1))
+    assert len(a) > 5 and all((lane, own[x], own[y]) in together for lane in (0, 3) for x, y in zip(a, b, strict=True))
 
 
 def test_components(spark):
