@@ -10,6 +10,10 @@ Back-pointers from the end then give the ids, equal to those of merging by rank.
 It holds for vocabularies in which every merge makes a token of its own from
 older ones; others are refused when loaded.
 
+A text is normalised and cut into words before: by a pattern where all its code
+points are of certain classes, else by the normalizer and pre-tokenizer that the
+vocabulary's file names. The tests hold every code point against the library.
+
 Nulls and edge cases: null and empty texts have no ids; ids of documents may be
 null or repeat; texts of any length are taken whole; an empty table gives no
 rows; other columns are passed on only as asked for.
@@ -26,9 +30,9 @@ from pathlib import Path
 
 import ahocorasick
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from kasumi.llm.common import strings
 
@@ -37,19 +41,18 @@ WORDS, PAIRS = 300_000, 1_000_000
 #: Where the last symbol of a word goes, so that it differs from the same one inside a word.
 END = 0xE000
 NEVER = 1 << 62
-#: White space as Unicode has it.
-SPACE = "\t-\r \x85\xa0  -     　"
-CONTRACTIONS = "'s|'t|'re|'ve|'m|'ll|'d"
-#: Any text, and texts below U+0250, where explicit ranges are much faster.
-ANY_WORDS = regex.compile(rf"{CONTRACTIONS}|\p{{L}}+|\p{{N}}|[^{SPACE}\p{{L}}\p{{N}}]+")
-LOW = re.compile("[^\x00-ɏ]")
+#: What the words of a text are cut by where its Unicode classes are certain: code points below U+0250, and signs of
+#: General Punctuation. Versions of Unicode differ elsewhere; other texts are normalised and cut by the file's own
+#: normalizer and pre-tokenizer.
+SIGNS = "‐-‧‰-⁞€"
+UNCERTAIN = re.compile(f"[^\x00-ɏ{SIGNS}]")
 
 
 def _ranges(kind: str, below: int = 0x250) -> str:
     return "".join(re.escape(chr(c)) for c in range(below) if unicodedata.category(chr(c)).startswith(kind))
 
 
-LOW_WORDS = re.compile(rf"{CONTRACTIONS}|[{_ranges('L')}]+|[{_ranges('N')}]|[^{SPACE}{_ranges('L')}{_ranges('N')}]+")
+WORDS_OF = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_ranges('L')}]+|[{_ranges('N')}]|[^\t-\r \x85\xa0{_ranges('L')}{_ranges('N')}]+")
 
 
 @functools.cache
@@ -178,6 +181,8 @@ class WordBpe:
         self.added = {t["content"]: t["id"] for t in held["added_tokens"]}
         self.tokens = {i: t for t, i in (self.vocab | self.added).items()}
         self.split = re.compile("(" + "|".join(map(re.escape, self.added)) + ")") if self.added else None
+        # the file without its vocabulary: normalizer and pre-tokenizer alone
+        self.parts = Tokenizer.from_str(json.dumps(held | {"added_tokens": [], "model": model | {"vocab": {}, "merges": []}}))
         symbols = byte_symbols()
         self.to_symbols = [symbols[b] for b in range(256)]
         self.ids_of = Remembered(self._ids_of)
@@ -186,18 +191,14 @@ class WordBpe:
         ids = self.bpe.encode_word("".join(map(self.to_symbols.__getitem__, word.encode())))
         return b"".join(i.to_bytes(4, "little") for i in ids)
 
-    @staticmethod
-    def words(text: str) -> list[str]:
+    def words(self, text: str) -> list[str]:
         """Normalised and cut as the file's normalizer and pre-tokenizer do."""
-        if text.isascii() or not LOW.search(text):
-            if not text.isascii() and not unicodedata.is_normalized("NFC", text):
-                text = unicodedata.normalize("NFC", text)
+        if text.isascii() or not UNCERTAIN.search(text):
             lowered = text.lower()
-            if not LOW.search(lowered):
-                return LOW_WORDS.findall(lowered)
-            return ANY_WORDS.findall(lowered)
-        # a capital sigma is lowered by itself there, whatever stands beside it
-        return ANY_WORDS.findall(unicodedata.normalize("NFC", text).replace("Σ", "σ").lower())
+            if lowered.isascii() or not UNCERTAIN.search(lowered):  # a dotted capital I leaves the range
+                return WORDS_OF.findall(lowered)
+        normal = self.parts.normalizer.normalize_str(text)
+        return [normal[a:b] for _, (a, b) in self.parts.pre_tokenizer.pre_tokenize_str(normal)]
 
     def encode(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit integers."""

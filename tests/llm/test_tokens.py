@@ -42,6 +42,39 @@ def test_ids_of_odd_texts(seed):
         assert words.decode(got) == there.decode(ids, skip_special_tokens=False)
 
 
+def test_every_code_point():
+    """In all places of a word, against the library, one by one where a group of them differs."""
+    own, there = bpe_prefix.WordBpe(WORDS), Tokenizer.from_file(WORDS)
+    points = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    shape = lambda c: f"a{c}b {c}1{c}A"
+    texts = ["\n".join(map(shape, points[k : k + 64])) for k in range(0, len(points), 64)]
+    for k in range(0, len(texts), 500):
+        for n, (text, found) in enumerate(zip(texts[k : k + 500], there.encode_batch(texts[k : k + 500], add_special_tokens=False), strict=True)):
+            if memoryview(own.encode(text)).cast("I").tolist() != found.ids:
+                group = points[64 * (k + n) : 64 * (k + n + 1)]
+                wrong = [c for c in group if memoryview(own.encode(shape(c))).cast("I").tolist() != there.encode(shape(c), add_special_tokens=False).ids]
+                raise AssertionError([hex(ord(c)) for c in wrong or group])
+
+
+def test_code_points_of_the_fast_way():
+    own, there = bpe_prefix.WordBpe(WORDS), Tokenizer.from_file(WORDS)
+    for c in [c for c in map(chr, range(0x2100)) if not bpe_prefix.UNCERTAIN.match(c)]:
+        for text in (c, f"a{c}", f"{c}a", f" {c}", f"{c} ", f"1{c}1", f"'{c}", c * 3, f"\n{c}\n a", f"{c}S'{c}", f"A{c}\u0301"):
+            assert memoryview(own.encode(text)).cast("I").tolist() == there.encode(text, add_special_tokens=False).ids, (c, text)
+
+
+@pytest.mark.parametrize("path", ["/root/testdata/sf0.01"])
+def test_ids_of_whole_documents(path):
+    """Every document of the fixture, by both operators' ways."""
+    pq = pytest.importorskip("pyarrow.parquet")
+    texts = [x or "" for x in pq.read_table(f"{path}/documents.parquet", columns=["text"]).column(0).to_pylist()]
+    fast, whole = tokens.ByteBpe(BYTES, RANKS, public_tokenizers.PATTERN), Tokenizer.from_file(BYTES)
+    words, there = bpe_prefix.WordBpe(WORDS), Tokenizer.from_file(WORDS)
+    for text, a, b in zip(texts, whole.encode_batch(texts, add_special_tokens=False), there.encode_batch(texts, add_special_tokens=False), strict=True):
+        assert fast.encode(text).tolist() == a.ids
+        assert memoryview(words.encode(text)).cast("I").tolist() == b.ids
+
+
 def test_a_small_vocabulary_equals_merging_by_rank():
     rng = random.Random(4)
     letters = "abc"
