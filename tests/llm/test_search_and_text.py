@@ -25,17 +25,52 @@ def brute(rows, k, scale=64):
 def test_search_equals_brute_force(spark, seed, monkeypatch):
     monkeypatch.setattr(maxscore, "SHARD", 32)
     monkeypatch.setattr(maxscore, "BLOCK", 2)
-    monkeypatch.setattr(maxscore, "CHUNK", 16)
+    monkeypatch.setattr(maxscore, "SEEDS", 60)
     rng = random.Random(seed)
     rows = [(i, [rng.gauss(0, 0.1) for _ in range(12)]) for i in range(200)]
     rows += [(300 + i, rows[0][1]) for i in range(40)]  # ties
     rows += [(1000, None), (1020, [1.0, None]), (1040, [float("nan")] * 12), (None, [1.0] * 12), (1060, [0.5] * 5), (1080, []), (1100, [float("inf")])]
+    rows += [(1200 + i, [0.0] * k + [rng.gauss(0, 1)] + [0.0] * 30) for i in range(80) for k in [rng.randint(0, 40)]]  # few postings
     rng.shuffle(rows)
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3).withColumnRenamed("x", "x")
+    df = spark.createDataFrame([(i, v, "clash", 1) for i, v in rows], "vec_id long, embedding array<double>, id string, block int").repartition(3)
     got = sorted(tuple(r) for r in maxscore.search(df, query="vec_id % 20 = 0", k=20).collect())
     assert got == brute(rows, 20)
 
 
+def test_repeated_ids_are_rows_of_their_own(spark):
+    rows = [(0, [1.0, 0.0]), (0, [0.0, 1.0]), (1, [1.0, 1.0]), (1, [0.5, 0.0]), (2, [0.0, 0.25])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted(tuple(r) for r in maxscore.search(df, query="vec_id = 0", k=4).collect())
+    # both queries' rows in one ranking: 64*64, 64*64, 64*32, 64*16
+    assert got == [(0, 1, 1, 4096), (0, 2, 1, 4096), (0, 3, 1, 2048), (0, 4, 2, 1024)]
+
+
+def unit(rng, n, d):
+    x = rng.normal(size=(n, d))
+    return np.floor(64 * x / np.linalg.norm(x, axis=1)[:, None])
+
+
+@pytest.mark.parametrize("sparse", [False, True])
+def test_maxscore_passes_postings_over(sparse):
+    """Every query splits its own terms; the probes run, and what they skip changes nothing."""
+    rng = np.random.default_rng(8)
+    rows, queries = unit(rng, 5000, 64), unit(rng, 40, 64)
+    if sparse:
+        rows, queries = (np.where(rng.random(x.shape) < 0.08, 4 * x, 0) for x in (rows, queries))
+    ids, query_ids = np.arange(5000), np.arange(40) + 10_000
+    thresholds = maxscore.first_thresholds(queries, query_ids, rows[:1000], ids[:1000], 20)
+    work = [0, 0]
+    q, r, score = maxscore.top(queries, query_ids, rows, ids, 20, thresholds, work)
+    exact = queries @ rows.T
+    for k in range(40):
+        order = np.lexsort((ids, -exact[k]))[:20]
+        own = q == k
+        assert sorted(zip((-exact[k][order]).tolist(), order.tolist(), strict=True)) == sorted((-s, i) for s, i in zip(np.array(score)[own].tolist(), r[own].tolist(), strict=True))
+    assert work[0] < (0.3 if sparse else 0.75) * work[1]
+    shard = maxscore.Shard(ids, rows, np.float64)
+    assert bool(shard.lists) == sparse
+
+
 def test_search_with_large_components_and_few_rows(spark):
     rows = [(0, [2.0**40, 3.0]), (1, [2.0**40, -(2.0**41)]), (20, [1e3, 1.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
