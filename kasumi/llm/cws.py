@@ -12,13 +12,17 @@ sum(min) / sum(max). As ln a identifies the sample, 16 bits of its hash are kept
 a term they share are drawn once. Everything between the one shuffle of the texts
 and the signatures happens in that shuffle's partitions: buckets of neighbouring
 ids, each with the first document of the next bucket as a guest, so that the next
-document is always at hand without a global order in one task.
+document is always at hand without a global order in one task. Buckets lie between
+quantiles of the ids, at most ``MOST_BUCKETS`` of them; what is known of each bucket,
+one row of a few numbers, is ordered in one task and broadcast, so that both are
+bounded whatever the input.
 
 Nulls and edge cases: a null text is the empty text, whose one term is the empty
 word; so equal texts always have equal fingerprints. Rows without an id come
 first. Rows that repeat an id go in order of a hash of their texts, and each comes
-back. A lone document is its own next. An empty table gives no rows. Other columns
-are ignored. Texts of any length are read whole.
+back; an id, or the lack of one, that many rows have is dealt to several buckets by
+that hash. A lone document is its own next. An empty table gives no rows. Other
+columns are ignored, whatever their names. Texts of any length are read whole.
 """
 
 from __future__ import annotations
@@ -28,44 +32,56 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 SLOTS = 32
-#: Quantiles of the ids that buckets are laid between; characters in a bucket and in a partition.
-EDGES, BUCKET_CHARS, PARTITION_CHARS = 64, 1_000_000, 5_000_000
+#: Buckets at most; characters in one (in more, if there were too many) and in a partition.
+MOST_BUCKETS, BUCKET_CHARS, PARTITION_CHARS = 65_536, 1_000_000, 5_000_000
+#: Quantiles that are looked through one by one, after a tree has led there.
+LEAF = 64
+#: What stands for a missing id; a row that really has it is ordered like one without.
+FIRST = -(1 << 63)
 
 
-def bucket(ids: Column, edges: list[int], within: int) -> Column:
-    """A number that never falls as ids rise: evenly spaced between neighbouring quantiles; -1 without an id."""
+def below(ids: Column, quantiles: list[int], *, equal: bool) -> Column:
+    """How many of the ascending quantiles are smaller than an id (or equal to it)."""
 
-    def place(low: int, high: int) -> Column:
-        if high - low == 1:
-            first, last = edges[low], edges[high]
-            share = F.lit(0.0) if last == first else (ids.cast("double") - F.lit(float(first))) / F.lit(float(last) - float(first))
-            return F.lit(low * within).cast("long") + F.greatest(F.lit(0), F.least(F.lit(within - 1), F.floor(share * within))).cast("long")
+    def counted(low: int, high: int) -> Column:
+        if high - low <= LEAF:
+            line = F.expr("array(" + ", ".join("-9223372036854775808" if x == FIRST else f"{x}L" for x in quantiles[low:high]) + ")").cast("array<bigint>")
+            return F.size(F.filter(line, lambda q: q <= ids if equal else q < ids)) + F.lit(low)
         middle = (low + high) // 2
-        return F.when(ids < F.lit(edges[middle]), place(low, middle)).otherwise(place(middle, high))
+        edge = F.lit(quantiles[middle])
+        return F.when(edge <= ids if equal else edge < ids, counted(middle, high)).otherwise(counted(low, middle))
 
-    return F.when(ids.isNull(), F.lit(-1).cast("long")).otherwise(place(0, len(edges) - 1))
+    return counted(0, len(quantiles))
+
+
+def bucket(ids: Column, hashes: Column, quantiles: list[int]) -> Column:
+    """A number that never falls as (id, hash) rises. An id that is several quantiles takes as many buckets, by its hash."""
+    low, high = below(ids, quantiles, equal=False), below(ids, quantiles, equal=True)
+    span = F.greatest(high - low, F.lit(1))
+    part = F.floor((hashes.cast("double") / F.lit(2.0**64) + F.lit(0.5)) * span)
+    return (low + F.greatest(F.lit(0), F.least(part, span - 1))).cast("long")
 
 
 def neighbours(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame | None:
     """(bucket, rn, guest, doc_id, text, next_text): every document beside the next; None for an empty table. Partitioned by bucket."""
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    shares = F.array(*(F.lit(k / EDGES) for k in range(1, EDGES)))
-    known = own.agg(F.count("*").alias("n"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.percentile_approx("doc_id", shares, 10_000).alias("inner"), F.sum(F.octet_length("text")).alias("size")).first()
+    known = own.agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("size")).first()
     if not known["n"]:
         return None
-    low, high = known["low"] or 0, known["high"] or 0
-    edges = sorted({low, *(known["inner"] or []), high})
-    edges = edges if len(edges) > 1 else [low, low + 1]
-    within = max(1, -(-known["size"] // (BUCKET_CHARS * (len(edges) - 1))))
-    own = own.withColumn("h", F.xxhash64("text")).withColumn("bucket", bucket(F.col("doc_id"), edges, within))
+    many = min(MOST_BUCKETS, max(2, -(-known["size"] // BUCKET_CHARS)))
+    shares = F.expr("array(" + ", ".join(f"{k / many!r}D" for k in range(1, many)) + ")")
+    quantiles = own.agg(F.percentile_approx(F.coalesce("doc_id", F.lit(FIRST)), shares, max(10_000, 4 * many)).alias("q")).first()["q"]
+    own = own.withColumns({"h": F.xxhash64("text"), "key": F.coalesce("doc_id", F.lit(FIRST))})
+    own = own.withColumn("bucket", bucket(F.col("key"), F.col("h"), quantiles))
     # the first document of each bucket, and the bucket before it that has any (after the last: the first)
-    firsts = own.groupBy("bucket").agg(F.min(F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id", "h")).alias("first"))
-    order = Window.orderBy("bucket")  # a row per bucket
-    targets = firsts.select(F.col("first.doc_id").alias("t_id"), F.col("first.h").alias("t_h"), F.coalesce(F.lag("bucket").over(order), F.max("bucket").over(Window.partitionBy())).alias("target"))
-    guests = own.join(F.broadcast(targets), F.col("doc_id").eqNullSafe(F.col("t_id")) & (F.col("h") == F.col("t_h"))).select("doc_id", "text", "h", F.col("target").alias("bucket"), F.lit(True).alias("guest"))
+    firsts = own.groupBy("bucket").agg(F.min(F.struct("key", "h")).alias("first"))
+    order = Window.orderBy("bucket")  # a row per bucket, so at most MOST_BUCKETS
+    targets = firsts.select(F.col("bucket").alias("t_bucket"), F.col("first.key").alias("t_key"), F.col("first.h").alias("t_h"), F.coalesce(F.lag("bucket").over(order), F.max("bucket").over(Window.partitionBy())).alias("target"))
+    guests = own.join(F.broadcast(targets), (F.col("bucket") == F.col("t_bucket")) & (F.col("key") == F.col("t_key")) & (F.col("h") == F.col("t_h")))
+    guests = guests.select("doc_id", "text", "key", "h", F.col("target").alias("bucket"), F.lit(True).alias("guest")).dropDuplicates(["bucket"])
     parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-known["size"] // PARTITION_CHARS))
-    dealt = own.select("doc_id", "text", "h", "bucket", F.lit(False).alias("guest")).union(guests).repartition(parts, "bucket")
-    line = Window.partitionBy("bucket").orderBy("guest", F.col("doc_id").asc_nulls_first(), "h")
+    dealt = own.select("doc_id", "text", "key", "h", "bucket", F.lit(False).alias("guest")).union(guests).repartition(parts, "bucket")
+    line = Window.partitionBy("bucket").orderBy("guest", "key", "h")
     return dealt.select("bucket", F.row_number().over(line).alias("rn"), "guest", "doc_id", "text", F.coalesce(F.lead("text").over(line), F.lit("")).alias("next_text"))
 
 
