@@ -9,14 +9,22 @@ archived, so that converting twice gives the same ones; timestamps, block digest
 and payload digests (SHA-1 in base 32) are made from the record.
 
 Archives are written and read by Spark through whatever file system the path
-names. In a WARC file every record is a gzip member of its own, in an ARC file all
-are one. A file has one block, and so a task reads at most ``BLOCK_BYTES`` and one
-record at once.
-
-Nulls and edge cases: null or empty HTML is an empty payload; pages without an id
-keep a null one and are responses; rows that repeat an id with equal payloads are
-alike in type; URLs of any characters are escaped; an empty table gives no rows;
-other columns are ignored.
+names. A file has up to ``FILE_BLOCKS`` blocks of about ``BLOCK_BYTES`` before they are
+compressed, each whole gzip members and followed by an empty member; readers split
+files at those, so a task holds a block at a time however large files are. In a WARC
+file every record is a gzip member of its own, in an ARC file a block is one member
+and an archive that begins with its own version block.
+
+What a record becomes is decided on keys alone: the archives are read for digests
+first, equal ones meet in one aggregation, and the few numbers of the revisits of a
+block then go to that block, as it is read again and converted. Records themselves
+are never shuffled, compressed ARC blocks are once.
+
+Nulls and edge cases: null or empty HTML is an empty payload; a record longer than a
+block is a block of its own; pages without an id keep a null one and are responses;
+rows that repeat an id with equal payloads are alike in type; URLs of any characters
+are escaped; an empty table gives no rows; other columns are ignored, whatever their
+names.
 """
 
 from __future__ import annotations
@@ -32,12 +40,13 @@ from dataclasses import dataclass, field
 from urllib.parse import quote
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kasumi.llm.common import shared_path
 
-BLOCK_BYTES = 8_000_000
+BLOCK_BYTES, FILE_BLOCKS = 4_000_000, 128
 #: The last field is the length in both versions (fixed by the format).
 FIELDS = {1: "URL IP-address Archive-date Content-type Archive-length", 2: "URL IP-address Archive-date Content-type Result-code Checksum Location Offset Filename Archive-length"}
 CAPTURED = "20000101000000"
@@ -139,12 +148,18 @@ class WarcRecord:
         return f"WARC/1.1\r\n{lines}Content-Length: {len(self.block)}\r\n\r\n".encode("utf-8", "surrogateescape") + self.block + b"\r\n\r\n"
 
 
+def record_id(arc: ArcRecord) -> str:
+    """From what is archived, so that converting twice gives the same."""
+    uri, date = arc.fields["URL"], arc.fields["Archive-date"].ljust(14, "0")
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{uri} {date} {sha1(arc.block)}')}>"
+
+
 def to_warc(arc: ArcRecord) -> WarcRecord:
     """The equivalent record: ``warcinfo`` for a version block, else ``response`` (``resource`` outside HTTP)."""
     uri, date = arc.fields["URL"], arc.fields["Archive-date"].ljust(14, "0")
     stamp = f"{date[:4]}-{date[4:6]}-{date[6:8]}T{date[8:10]}:{date[10:12]}:{date[12:14]}Z"
     header, payload = http_parts(arc.block)
-    known = {"WARC-Record-ID": f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{uri} {date} {sha1(arc.block)}')}>", "WARC-Date": stamp}
+    known = {"WARC-Record-ID": record_id(arc), "WARC-Date": stamp}
     if uri.startswith("filedesc://"):
         return WarcRecord({"WARC-Type": "warcinfo", **known, "WARC-Filename": uri.removeprefix("filedesc://"), "Content-Type": "text/plain"}, arc.block)
     kind, content = ("response", "application/http; msgtype=response") if header else ("resource", arc.fields["Content-type"])
@@ -187,12 +202,13 @@ def _blocks(parts: Iterator[bytes]) -> Iterator[bytes]:
 
 
 def _write(blocks: DataFrame, path: str) -> None:
-    """Rows of bytes as files of one row each; Spark's text writer leaves the bytes as they are."""
-    blocks.select(F.col("block").cast("string")).write.option("lineSep", NOTHING.decode("latin-1")).option("encoding", "ISO-8859-1").option("maxRecordsPerFile", 1).text(path)
+    """Rows of bytes one after the other; Spark's text writer leaves the bytes as they are."""
+    blocks.select(F.col("block").cast("string")).write.option("lineSep", NOTHING.decode("latin-1")).option("encoding", "ISO-8859-1").option("maxRecordsPerFile", FILE_BLOCKS).text(path)
 
 
-def _files(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema("path string, modificationTime timestamp, length long, content binary").format("binaryFile").load(path).select("content")
+def _read(spark: SparkSession, path: str) -> DataFrame:
+    """(block): a row for each block; ``NOTHING`` stands between them, and in no other place, as gzip's first bytes are in no UTF-8 text."""
+    return spark.read.option("lineSep", NOTHING.decode("latin-1")).option("encoding", "ISO-8859-1").text(path).select(F.col("value").cast("binary").alias("block")).where(F.octet_length("block") > 0)
 
 
 def _as_batch(blocks: list[bytes]) -> pa.RecordBatch:
@@ -203,68 +219,68 @@ def write_arc(pages: DataFrame, path: str, *, id_col: str = "page_id", url_col:
     """Pages as ARC archives; every block begins with a version block, versions 1 and 2 in turn."""
 
     def written(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for k, batch in enumerate(batches):
-            version = 1 + k % 2
+        part, k = TaskContext.get().partitionId(), 0
 
-            def records(batch=batch, version=version) -> Iterator[bytes]:
-                for page, url, html in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                    payload = (html or "").encode()
-                    own = "" if page is None else f"{ID_HEADER}: {page}\r\n"
-                    head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=UTF-8\r\n{own}Content-Length: {len(payload)}\r\n\r\n"
-                    yield arc_record(version, quote(url or "urn:unknown", safe="%/:=&?~#+!$,;'@()*[]-._"), head.encode() + payload)
+        def records(version: int) -> Iterator[bytes]:
+            for page, url, html in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                payload = (html or "").encode()
+                own = "" if page is None else f"{ID_HEADER}: {page}\r\n"
+                head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=UTF-8\r\n{own}Content-Length: {len(payload)}\r\n\r\n"
+                yield arc_record(version, quote(url or "urn:unknown", safe="%/:=&?~#+!$,;'@()*[]-._"), head.encode() + payload)
 
-            for block in _blocks(records()):  # an archive of its own, compressed in one
-                yield _as_batch([member(arc_version_block(version, f"pages-{version}.arc") + block, 3)])
+        for batch in batches:
+            for block in _blocks(records(1 + k % 2)):  # an archive of its own, compressed in one
+                yield _as_batch([member(arc_version_block(1 + k % 2, f"pages-{part}-{k}.arc") + block, 3)])
+                k += 1
 
     _write(pages.select(F.col(id_col).cast("long").alias("id"), url_col, payload_col).mapInArrow(written, "block binary"), path)
 
 
-def convert(spark: SparkSession, path: str, *, records: bool = True) -> DataFrame:
-    """(record_id, page_id, payload_digest, payload_bytes, record): the WARC records that ARC archives become, each compressed as it is written (null if only what they are known by is asked for)."""
+def known_records(spark: SparkSession, path: str) -> DataFrame:
+    """(block_id, place, record_id, page_id, payload_digest, payload_bytes) of the captures in ARC archives: what their WARC records are known by."""
 
-    def converted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = pa.string(), pa.int32(), pa.string(), pa.int64(), pa.string(), pa.int64()
+        names = ["block_id", "place", "record_id", "page_id", "payload_digest", "payload_bytes"]
         for batch in batches:
-            for content in batch.column(0):
-                rows, size = [], 0
-                for arc in read_arc(content.as_py()):
-                    warc = to_warc(arc)
-                    if warc.headers["WARC-Type"] == "warcinfo":
+            for block_id, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                rows = []
+                for place, arc in enumerate(read_arc(content.as_py())):
+                    if arc.fields["URL"].startswith("filedesc://"):
                         continue
-                    header, payload = http_parts(warc.block)
+                    header, payload = http_parts(arc.block)
                     own = http_field(header, ID_HEADER)
-                    rows.append((warc.headers["WARC-Record-ID"], None if own is None else int(own), warc.headers["WARC-Payload-Digest"].removeprefix("sha1:"), len(payload), member(bytes(warc)) if records else None))
-                    size += len(warc.block)
-                    if size >= BLOCK_BYTES:
-                        yield _converted(rows)
-                        rows, size = [], 0
-                yield _converted(rows)
+                    rows.append((block_id, place, record_id(arc), None if own is None else int(own), sha1(payload), len(payload)))
+                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names=names)
 
-    return _files(spark, path).mapInArrow(converted, "record_id string, page_id long, payload_digest string, payload_bytes long, record binary")
+    return _read(spark, path).select(F.md5("block").alias("block_id"), "block").mapInArrow(listed, "block_id string, place int, record_id string, page_id long, payload_digest string, payload_bytes long")
 
 
-def _converted(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = pa.string(), pa.int64(), pa.string(), pa.int64(), pa.binary()
-    names = "record_id", "page_id", "payload_digest", "payload_bytes", "record"
-    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names=list(names))
+def revisits(known: DataFrame, *, least_bytes: int = 0) -> DataFrame:
+    """(block_id, places, refers_to): for each block its records that revisit another. Of equal payloads of at least ``least_bytes`` the smallest page_id's is the response."""
+    able = known.where(F.col("payload_bytes") >= least_bytes).where("page_id is not null")
+    first = able.groupBy("payload_digest").agg(F.min(F.struct("page_id", "record_id")).alias("first"), F.max("page_id").alias("last")).where("last > first.page_id").select("payload_digest", "first")
+    found = able.select("block_id", "place", "page_id", "payload_digest").join(first, "payload_digest").where("page_id > first.page_id")
+    return found.groupBy("block_id").agg(F.collect_list("place").alias("places"), F.collect_list("first.record_id").alias("refers_to"))  # as many as a block has records
 
 
-def write_warc(records: DataFrame, known: DataFrame, path: str, *, least_bytes: int = 0) -> None:
-    """``convert``'s rows as WARC archives; ``known`` are the same without the records. Of equal payloads of at least ``least_bytes`` the smallest page_id's is the response."""
-    equal = known.where(F.col("payload_bytes") >= least_bytes).where("page_id is not null").groupBy("payload_digest").agg(F.min(F.struct("page_id", "record_id")).alias("first"), F.count("*").alias("n")).where("n > 1")
-    first = equal.select("payload_digest", F.col("first.page_id").alias("first_id"), F.col("first.record_id").alias("first_record"))
-    decided = records.join(first, "payload_digest", "left").select("record", F.when(F.col("page_id") > F.col("first_id"), F.col("first_record")).alias("refers_to"))
+def convert(spark: SparkSession, path: str, decided: DataFrame, to: str) -> None:
+    """ARC archives to WARC archives; ``decided`` says which records are revisits."""
 
-    def written(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def parts() -> Iterator[bytes]:
-            for batch in batches:
-                for record, refers_to in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
-                    raw = record.as_py()
-                    yield raw if refers_to is None else member(bytes(to_revisit(next(read_warc(raw)), refers_to)))
+    def converted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for content, places, refers_to in zip(batch.column(0), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                target = dict(zip(places or (), refers_to or (), strict=True))
 
-        for block in _blocks(parts()):
-            yield _as_batch([block])
+                def records(content=content, target=target) -> Iterator[bytes]:
+                    for place, arc in enumerate(read_arc(content.as_py())):
+                        warc = to_warc(arc)
+                        yield member(bytes(warc if place not in target else to_revisit(warc, target[place])))
 
-    _write(decided.mapInArrow(written, "block binary"), path)
+                yield _as_batch([b"".join(records())])
+
+    blocks = _read(spark, path).select(F.md5("block").alias("block_id"), "block").join(decided, "block_id", "left").select("block", "places", "refers_to")
+    _write(blocks.mapInArrow(converted, "block binary"), to)
 
 
 def read_back(spark: SparkSession, path: str) -> DataFrame:
@@ -277,6 +293,8 @@ def read_back(spark: SparkSession, path: str) -> DataFrame:
             for content in batch.column(0):
                 rows = []
                 for warc in read_warc(content.as_py()):
+                    if warc.headers["WARC-Type"] == "warcinfo":
+                        continue
                     header, payload = http_parts(warc.block)
                     own, kind = http_field(header, ID_HEADER), warc.headers["WARC-Type"]
                     digest = warc.headers["WARC-Payload-Digest"].removeprefix("sha1:")
@@ -286,7 +304,7 @@ def read_back(spark: SparkSession, path: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names=names)
 
     # parsed once; every record meets the response that it refers to, a response itself
-    _files(spark, path).mapInArrow(parsed, "record_id string, record_type string, page_id long, payload_bytes long, payload_digest string, target string").write.parquet(f"{path}-read")
+    _read(spark, path).mapInArrow(parsed, "record_id string, record_type string, page_id long, payload_bytes long, payload_digest string, target string").write.parquet(f"{path}-read")
     found = spark.read.parquet(f"{path}-read").withColumn("target", F.coalesce("target", "record_id"))
     responses = found.where("record_type <> 'revisit'").select("target", F.col("page_id").alias("response_id"), F.col("payload_bytes").alias("known_bytes")).dropDuplicates(["target"])
     revisit = F.col("record_type") == "revisit"
@@ -298,5 +316,6 @@ def archive(pages: DataFrame, *, least_bytes: int = 0, **columns: str) -> DataFr
     spark = pages.sparkSession
     path = shared_path(spark, "archives")
     write_arc(pages, f"{path}/arc", **columns)
-    write_warc(convert(spark, f"{path}/arc"), convert(spark, f"{path}/arc", records=False), f"{path}/warc", least_bytes=least_bytes)
+    known_records(spark, f"{path}/arc").write.parquet(f"{path}/known")
+    convert(spark, f"{path}/arc", revisits(spark.read.parquet(f"{path}/known"), least_bytes=least_bytes), f"{path}/warc")
     return read_back(spark, f"{path}/warc")
