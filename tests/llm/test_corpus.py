@@ -64,10 +64,25 @@ def test_sampling_of_odd_tables(spark):
 
 
 def test_buckets_never_fall(spark):
-    edges = [0, 10, 10_000, 10_001]
-    ids = spark.range(0, 10_001)
-    got = [r.b for r in ids.select(cws.bucket(F.col("id"), edges, 7).alias("b"), "id").orderBy("id").collect()]
-    assert got == sorted(got) and got[0] == 0
+    quantiles = [cws.FIRST, cws.FIRST, -5, 0, 10, 10, 10, 10, *range(20, 400), 10_000, 2**63 - 1]
+    rows = [(i, h) for i in [-(2**63), -6, -5, 0, 9, 10, 11, 21, 399, 400, 9_999, 10_001, 2**63 - 1] for h in (-(2**63), -(2**62), 0, 2**62, 2**63 - 1)]
+    df = spark.createDataFrame([(k, i, h) for k, (i, h) in enumerate(rows)], "k long, i long, h long")
+    got = [r.b for r in df.select("k", cws.bucket(F.col("i"), F.col("h"), quantiles).alias("b")).orderBy("k").collect()]
+    assert got == sorted(got) and len({b for b, (i, _) in zip(got, rows, strict=True) if i == 10}) == 4
+
+
+def test_a_hot_id_is_dealt_out(spark, monkeypatch):
+    """Rows without an id and of one id go to several buckets; every row still has the next one beside it."""
+    monkeypatch.setattr(cws, "BUCKET_CHARS", 200)
+    rng = random.Random(4)
+    rows = [(rng.choice([None, 7, 7, k]), f"text {rng.randint(0, 10**6)} {k}") for k in range(400)]
+    df = spark.createDataFrame([(i, t, 1, 2) for i, t in rows], "doc_id long, text string, bucket int, h int").repartition(3)
+    beside = cws.neighbours(df).where("not guest").collect()
+    assert len({r.bucket for r in beside if r.doc_id is None}) > 4 and len({r.bucket for r in beside if r.doc_id == 7}) > 4
+    hashes = {r.text: r.h for r in df.select("text", F.xxhash64("text").alias("h")).distinct().collect()}
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, hashes[r[1]]))
+    following = {t: order[(k + 1) % len(order)][1] for k, (_, t) in enumerate(order)}
+    assert {r.text: r.next_text for r in beside} == following
 
 
 # --- archives -------------------------------------------------------------------------------------
@@ -91,6 +106,32 @@ def test_archives_come_back(spark):
     assert arc_warc.archive(df.limit(0)).count() == 0
 
 
+def test_archives_hold_what_they_say(spark, tmp_path):
+    """Every version block becomes a warcinfo, files hold several blocks, equal payloads are kept once; plain gzip reads the files."""
+    import gzip
+
+    rows = [(k, f"http://h/{k}", f"<p>{k % 5}</p>" * 200) for k in range(60)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10")  # a block for each batch
+    arc_warc.write_arc(df, f"{tmp_path}/arc")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    arc_warc.known_records(spark, f"{tmp_path}/arc").write.parquet(f"{tmp_path}/known")
+    arc_warc.convert(spark, f"{tmp_path}/arc", arc_warc.revisits(spark.read.parquet(f"{tmp_path}/known")), f"{tmp_path}/warc")
+    for kind in ("arc", "warc"):
+        files = [p for p in (tmp_path / kind).iterdir() if p.name.startswith("part-") and p.stat().st_size]
+        assert len(files) < 5
+        data = b"".join(gzip.decompress(p.read_bytes()) for p in files)
+        if kind == "arc":
+            blocks = [r for r in arc_warc.read_arc(data) if r.fields["URL"].startswith("filedesc://")]
+            assert len(blocks) == 6 and len(list(arc_warc.read_arc(data))) == 66
+        else:
+            found = list(arc_warc.read_warc(data))
+            kinds = Counter(r.headers["WARC-Type"] for r in found)
+            assert kinds == {"warcinfo": len(blocks), "response": 5, "revisit": 55}
+            assert len({r.headers["WARC-Record-ID"] for r in found}) == len(found)
+
+
 def test_versions_of_arc():
     block = b"HTTP/1.1 200 OK\r\nX: 1\r\n\r\nbody\nhttp://x 0.0.0.0 2000 text/html 3\nabc"
     raw = b"".join(arc_warc.arc_version_block(v, f"f{v}.arc") + arc_warc.arc_record(v, "http://x/", block, ip="1.2.3.4", date="20010203040506") for v in (1, 2))
@@ -131,7 +172,7 @@ def test_borders_shift_with_the_text():
         again = cdc.borders([b"before", text.encode()])[1]
         assert starts.tolist() == again[0].tolist() and words.tolist() == again[1].tolist()
         assert b"".join(text.encode()[a:b] for a, b in zip(starts, starts[1:], strict=False)) == text.encode()
-        assert words.sum() == len(text.split()) and (len(words) == 0 or words.max() <= cdc.LONGEST)
+        assert words.sum() == 2 * len(text.split()) and (len(words) == 0 or words.max() <= 2 * cdc.LONGEST)
 
 
 def test_repeated_passages_go(spark):
@@ -167,6 +208,64 @@ def test_repeated_passages_go(spark):
     assert dict(cdc.deduplicate(clash).dtypes)["removed"].startswith("array") and cdc.deduplicate(clash).count() == len(rows)
 
 
+def plain_dedup(rows, shortest):
+    """Chunk by chunk in plain Python, over the operator's borders; whole chunks are compared, not digests."""
+    def cut(text):
+        own = text.encode()
+        starts, worth = cdc.borders([own])[0]
+        return [(own[a:b], int(w)) for a, b, w in zip(starts, starts[1:], worth, strict=False)]
+
+    first = {}
+    for i, text in rows:
+        for own, _ in cut(text or "") if i is not None else ():
+            first[own.rstrip()] = min(i, first.get(own.rstrip(), i))
+    out = []
+    for i, text in rows:
+        kept, run, seen, removed, at = [], [], set(), [], 0
+        for own, worth in [*cut(text or ""), (None, 0)]:
+            key = None if own is None else own.rstrip()
+            if key is not None and (key in seen or i is not None and first[key] < i):
+                run.append((own, worth))
+            else:
+                passage = b"".join(x for x, _ in run).decode()
+                if sum(w for _, w in run) >= 2 * shortest:
+                    removed.append((at, len(passage)))
+                else:
+                    kept.append(passage)
+                at += len(passage)
+                run = []
+                if own is not None:
+                    kept.append(own.decode())
+                    at += len(own.decode())
+            seen.add(key)
+        out.append((i, None if text is None else "".join(kept), removed))
+    return out
+
+
+def test_chunks_equal_plain_python(spark):
+    rng = random.Random(11)
+    fresh = lambda n: " ".join("".join(rng.choice("abcdefghij") for _ in range(rng.randint(1, 8))) for _ in range(n))
+    shared = [fresh(rng.randint(5, 90)) for _ in range(12)] + ["日本語の文章が続く長い段落であり、" * 4 + "".join(rng.choice("春夏秋冬東西南北") for _ in range(80)), "".join(rng.choice("ABCdef0123+/") for _ in range(700))]
+    rows = [(rng.randint(0, 90), " ".join(x for _ in range(rng.randint(0, 6)) for x in (fresh(rng.randint(0, 30)), rng.choice(shared)))) for _ in range(120)]
+    rows += [(200, None), (201, ""), (202, "a " * 5000), (203, fresh(20_000)), (None, shared[0] + " " + shared[0] + " " + shared[1]), (204, rows[5][1]), (204, rows[5][1])]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    expected = sorted(plain_dedup(rows, cdc.SHORTEST_RUN), key=repr)
+    assert sum(bool(r) for _, _, r in expected) > 60
+    assert sorted(((r.doc_id, r.text, [(x.start, x.length) for x in r.removed]) for r in cdc.deduplicate(df).collect()), key=repr) == expected
+
+
+def test_passages_without_spaces_go(spark):
+    rng = random.Random(12)
+    han = lambda n: "".join(chr(rng.randint(0x4E00, 0x9F00)) for _ in range(n))
+    code = lambda n: "".join(rng.choice("ABCDEFghijklmn0123456789+/") for _ in range(n))
+    passage, blob = han(200), code(3000)
+    rows = [(1, han(90) + passage + han(50)), (2, han(70) + passage + han(80)), (3, "x " + blob), (4, "y z " + code(40) + blob), (5, han(150))]
+    got = {r.doc_id: r for r in cdc.deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [got[k].text for k in (1, 3, 5)] == [t for i, t in rows if i in (1, 3, 5)]
+    assert passage[20:-20] not in got[2].text and 150 <= len(got[2].text) <= 190
+    assert len(got[4].text) < 200
+
+
 # --- models ---------------------------------------------------------------------------------------
 
 
