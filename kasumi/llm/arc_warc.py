@@ -228,9 +228,10 @@ def write_arc(pages: DataFrame, path: str, *, id_col: str = "page_id", url_col:
                 head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=UTF-8\r\n{own}Content-Length: {len(payload)}\r\n\r\n"
                 yield arc_record(version, quote(url or "urn:unknown", safe="%/:=&?~#+!$,;'@()*[]-._"), head.encode() + payload)
 
-        for batch in batches:
-            for block in _blocks(records(1 + k % 2)):  # an archive of its own, compressed in one
-                yield _as_batch([member(arc_version_block(1 + k % 2, f"pages-{part}-{k}.arc") + block, 3)])
+        for n, batch in enumerate(batches):
+            version = 1 + n % 2
+            for block in _blocks(records(version)):  # an archive of its own, compressed in one
+                yield _as_batch([member(arc_version_block(version, f"pages-{part}-{k}.arc") + block, 3)])
                 k += 1
 
     _write(pages.select(F.col(id_col).cast("long").alias("id"), url_col, payload_col).mapInArrow(written, "block binary"), path)

@@ -132,6 +132,14 @@ def test_archives_hold_what_they_say(spark, tmp_path):
             assert len({r.headers["WARC-Record-ID"] for r in found}) == len(found)
 
 
+def test_a_batch_of_several_blocks(spark):
+    rng = random.Random(3)
+    rows = [(k, "http://h", "".join(rng.choice("abc") for _ in range(1_500_000)) + str(k % 7)) for k in range(10)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)
+    got = {r.page_id: (r.payload_bytes, r.record_type) for r in arc_warc.archive(df).collect()}
+    assert got == {k: (len(html), "response") for k, _, html in rows}
+
+
 def test_versions_of_arc():
     block = b"HTTP/1.1 200 OK\r\nX: 1\r\n\r\nbody\nhttp://x 0.0.0.0 2000 text/html 3\nabc"
     raw = b"".join(arc_warc.arc_version_block(v, f"f{v}.arc") + arc_warc.arc_record(v, "http://x/", block, ip="1.2.3.4", date="20010203040506") for v in (1, 2))
