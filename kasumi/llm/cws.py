@@ -78,7 +78,7 @@ def neighbours(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     order = Window.orderBy("bucket")  # a row per bucket, so at most MOST_BUCKETS
     targets = firsts.select(F.col("bucket").alias("t_bucket"), F.col("first.key").alias("t_key"), F.col("first.h").alias("t_h"), F.coalesce(F.lag("bucket").over(order), F.max("bucket").over(Window.partitionBy())).alias("target"))
     guests = own.join(F.broadcast(targets), (F.col("bucket") == F.col("t_bucket")) & (F.col("key") == F.col("t_key")) & (F.col("h") == F.col("t_h")))
-    guests = guests.select("doc_id", "text", "key", "h", F.col("target").alias("bucket"), F.lit(True).alias("guest")).dropDuplicates(["bucket"])
+    guests = guests.select("doc_id", "text", "key", "h", F.col("target").alias("bucket"), F.lit(True).alias("guest"))
     parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-known["size"] // PARTITION_CHARS))
     dealt = own.select("doc_id", "text", "key", "h", "bucket", F.lit(False).alias("guest")).union(guests).repartition(parts, "bucket")
     line = Window.partitionBy("bucket").orderBy("guest", "key", "h")
