@@ -1,7 +1,10 @@
 """Tables of results by content hash, as Parquet in versioned folders.
 
-An upsert writes the new version beside the old one, then names it current; readers
-of the old one go on undisturbed, and a lost executor costs a retried write only.
+An upsert writes the new version beside the old one, which makes it current, and a
+lost executor costs a retried write only. Readers of the version before go on
+undisturbed; older ones are removed. After a deletion no older version stays at all,
+so that nothing of a deleted document is left in any file: readers that began before
+it fail and read again.
 """
 
 from __future__ import annotations
@@ -65,8 +68,15 @@ class Store:
             return self.spark.createDataFrame([], SCHEMAS[name])
         return self.spark.read.schema(SCHEMAS[name]).parquet(f"{self.root}/{name}/v{at}")  # columns that an old file lacks are null
 
-    def _write(self, name: str, rows: DataFrame) -> None:
-        rows.write.parquet(f"{self.root}/{name}/v{self.version(name) + 1}")
+    def _write(self, name: str, rows: DataFrame, *, keep: int = 1) -> None:
+        """Writes a new version and removes what is older than the ``keep`` versions before it, remains of failed writes too."""
+        new = self.version(name) + 1
+        rows.write.mode("overwrite").parquet(f"{self.root}/{name}/v{new}")
+        fs, at = self._fs(f"{self.root}/{name}")
+        for path in [f.getPath() for f in fs.listStatus(at)]:
+            number = path.getName()[1:]
+            if path.getName().startswith("v") and number.isdigit() and int(number) < new - keep and not fs.delete(path, True):
+                raise OSError(f"{path.toString()} could not be removed")
 
     def put(self, name: str, rows: DataFrame) -> None:
         keys = KEYS[name]
@@ -86,10 +96,10 @@ class Store:
         return catalog(self.read("documents"), self.read("ner"), self.read("llm_detection"))
 
     def delete(self, content_hash: str, names: list[str] | None = None) -> None:
-        """From all four tables, or those named; nothing of a deleted document stays."""
+        """From all four tables, or those named, and from their older versions; nothing of a deleted document stays in them."""
         for name in names or list(SCHEMAS):
             if self.version(name):
-                self._write(name, self.read(name).where(~F.col("content_hash").eqNullSafe(F.lit(content_hash))))
+                self._write(name, self.read(name).where(~F.col("content_hash").eqNullSafe(F.lit(content_hash))), keep=0)
 
     def set_source_kind(self, content_hash: str, kind: str) -> None:
         own = self.read("documents")
