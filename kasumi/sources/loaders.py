@@ -13,6 +13,7 @@ import re
 import unicodedata
 import zipfile
 from collections.abc import Callable, Iterator
+from datetime import datetime, timedelta
 from html.parser import HTMLParser
 from xml.etree import ElementTree
 
@@ -27,15 +28,23 @@ ENCODINGS = ("utf-8", "cp932", "euc-jp", "utf-16")
 
 
 def decoded(raw: bytes, encoding: str | None = None) -> str:
-    """The text in the first encoding that fits; at last UTF-8 with replacement characters."""
-    for name in ((encoding,) if encoding else ()) + ENCODINGS:
+    """The text in the first encoding that fits, then in the one that a detector names if its library is there; at last UTF-8 with replacement characters."""
+    for name in (*((encoding,) if encoding else ()), *ENCODINGS, None):
         try:
-            return raw.decode(name)
+            return raw.decode(name or _detected(raw))
         except (UnicodeDecodeError, LookupError):
             continue
     return raw.decode("utf-8", "replace")
 
 
+def _detected(raw: bytes) -> str:
+    try:
+        import chardet  # optional
+    except ImportError:
+        return "none"
+    return chardet.detect(raw)["encoding"] or "none"
+
+
 def parse_text(raw: bytes) -> list[tuple[dict[str, str], str]]:
     return [({}, decoded(raw))]
 
@@ -129,6 +138,45 @@ def number(text: str) -> str:
 # --- office files ---------------------------------------------------------------------------------
 
 
+# Fixed: number formats of the file format that show dates or times, and the days that are counted from.
+DATE_FORMATS = frozenset([*range(14, 23), *range(27, 37), *range(45, 48), *range(50, 59)])
+EPOCH, EPOCH_1904 = datetime(1899, 12, 30), datetime(1904, 1, 1)
+
+
+def _date_styles(pack: zipfile.ZipFile) -> dict[int, datetime]:
+    """Cell styles that show a number as a date, with the day that it counts from."""
+    if "xl/styles.xml" not in pack.namelist():
+        return {}
+    root = _safe_xml(pack.read("xl/styles.xml"))
+    own = {int(x.get("numFmtId", 0)): re.sub(r'"[^"]*"|\[[^\]]*\]|\\.', "", x.get("formatCode", "")) for x in root.iter() if _local(x) == "numFmt"}
+    dated = DATE_FORMATS | {k for k, code in own.items() if re.search("[ymdhs]", code, re.I) and not re.search("general", code, re.I)}
+    styles = next((x for x in root if _local(x) == "cellXfs"), ())
+    return {k: EPOCH for k, x in enumerate(styles) if int(x.get("numFmtId", 0)) in dated}
+
+
+def _string(item: ElementTree.Element) -> str:
+    """A rich text without its phonetic runs."""
+    return "".join((x.text or "") if _local(x) == "t" else "".join(t.text or "" for t in _children(x, "t")) if _local(x) == "r" else "" for x in item)
+
+
+def _cell(cell: ElementTree.Element, shared: list[str], dates: dict[int, datetime]) -> str:
+    """A cell's text: numbers in eight digits, dates in ISO form, truth values by name."""
+    kind = cell.get("t", "n")
+    if kind == "inlineStr":
+        return "".join(_string(x) for x in _children(cell, "is"))
+    value = "".join(v.text or "" for v in _children(cell, "v"))
+    if kind == "s" and value:
+        return shared[int(value)]
+    if kind == "b":
+        return {"1": "True", "0": "False"}.get(value, value)
+    if kind == "n" and value and (epoch := dates.get(int(cell.get("s", -1)))):
+        try:
+            return str((epoch + timedelta(seconds=round(float(value) * 86_400))))
+        except (ValueError, OverflowError):
+            return value
+    return number(value) if kind == "n" else value
+
+
 def parse_xlsx(raw: bytes) -> list[tuple[dict[str, str], str]]:
     """A page for each sheet, as a Markdown table."""
     pages = []
@@ -136,14 +184,17 @@ def parse_xlsx(raw: bytes) -> list[tuple[dict[str, str], str]]:
         shared = []
         if "xl/sharedStrings.xml" in pack.namelist():
             for item in _safe_xml(pack.read("xl/sharedStrings.xml")):
-                shared.append("".join(t.text or "" for t in item.iter() if _local(t) == "t"))
+                shared.append(_string(item))
+        dates = _date_styles(pack)
         targets = _relations(pack, "xl/workbook.xml")
         book = _safe_xml(pack.read("xl/workbook.xml"))
+        if any(_local(x) == "workbookPr" and x.get("date1904") in ("1", "true") for x in book.iter()):
+            dates = {k: EPOCH_1904 for k in dates}
         for sheet in (x for x in book.iter() if _local(x) == "sheet"):
             target = targets[_attribute(sheet, "id")].lstrip("/")
             root = _safe_xml(pack.read(target if target.startswith("xl/") else f"xl/{target}"))
             rows: list[list[str]] = []
-            for row in (x for x in root.iter() if _local(x) == "row"):
+            for row in (x for x in root.iter() if _local(x) == "row"):  # a reading aid beside a text isn't part of it
                 cells: list[str] = []
                 for cell in _children(row, "c"):
                     letters = re.match("[A-Z]*", cell.get("r", ""))[0]
@@ -151,9 +202,7 @@ def parse_xlsx(raw: bytes) -> list[tuple[dict[str, str], str]]:
                     for c in letters:
                         column = column * 26 + ord(c) - 64
                     cells += [""] * (max(column, len(cells) + 1) - len(cells))
-                    value = "".join(v.text or "" for v in cell.iter() if _local(v) in ("v", "t"))
-                    kind = cell.get("t", "n")
-                    cells[(column or len(cells)) - 1] = shared[int(value)] if kind == "s" and value else number(value) if kind == "n" else value
+                    cells[(column or len(cells)) - 1] = _cell(cell, shared, dates)
                 rows.append(cells)
             if table := markdown_table(clean_table(rows)):
                 pages.append(({"sheet_name": sheet.get("name", "")}, table))
@@ -295,34 +344,48 @@ def register(extension: str, parser: Parser, parsers: dict[str, Parser] | None =
     (PARSERS if parsers is None else parsers)[extension.lower().lstrip(".")] = parser
 
 
-def load(spark: SparkSession, paths: str | list[str], *, parsers: dict[str, Parser] | None = None) -> DataFrame:
-    """(path, file_name, file_type, page, text, meta): a row per page, NFKC-normalised. Missing paths and types without a parser raise."""
+PAGES = pa.schema([("path", pa.string()), ("file_name", pa.string()), ("file_type", pa.string()), ("page", pa.int32()), ("text", pa.string()), ("meta", pa.map_(pa.string(), pa.string())), ("error", pa.string())])
+
+
+def load(spark: SparkSession, paths: str | list[str], *, parsers: dict[str, Parser] | None = None, on_error: str = "raise") -> DataFrame:
+    """(path, file_name, file_type, page, text, meta): a row per page, NFKC-normalised.
+
+    Missing paths raise. A file that has no parser or can't be read raises too, or with ``on_error="keep"`` is
+    a row without a page or text whose additional column ``error`` says why, so that one file doesn't end the job.
+    """
+    if on_error not in ("raise", "keep"):
+        raise ValueError(f"on_error is {on_error!r}")
     known = dict(PARSERS if parsers is None else parsers)
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(paths).select("path", "content")
 
+    def pages(path: str, name: str, kind: str, content: bytes) -> Iterator[tuple]:
+        if kind not in known:
+            raise ValueError(f"no parser for {name}")
+        for k, (meta, text) in enumerate(known[kind](content)):
+            yield path, name, kind, k, unicodedata.normalize("NFKC", text), sorted({"file_path": path, "file_name": name, "file_type": kind, **meta}.items()), None
+
     def parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 name = path.rpartition("/")[2]
                 kind = name.rpartition(".")[2].lower() if "." in name else ""
-                if kind not in known:
-                    raise ValueError(f"no parser for {name}")
-                pages = known[kind](content.as_py())
-                n = len(pages)
-                metas = [sorted({"file_path": path, "file_name": name, "file_type": kind, **meta}.items()) for meta, _ in pages]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([path] * n, pa.string()), pa.array([name] * n, pa.string()), pa.array([kind] * n, pa.string()), pa.array(range(n), pa.int32()), pa.array([unicodedata.normalize("NFKC", text) for _, text in pages], pa.string()), pa.array(metas, pa.map_(pa.string(), pa.string()))],
-                    names=["path", "file_name", "file_type", "page", "text", "meta"],
-                )
+                try:
+                    rows = list(pages(path, name, kind, content.as_py()))
+                except Exception as error:
+                    if on_error == "raise":
+                        raise
+                    rows = [(path, name, kind, None, None, None, f"{type(error).__name__}: {error}"[:500])]
+                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(PAGES)], schema=PAGES)
 
-    return files.mapInArrow(parsed, "path string, file_name string, file_type string, page int, text string, meta map<string,string>")
+    found = files.mapInArrow(parsed, "path string, file_name string, file_type string, page int, text string, meta map<string,string>, error string")
+    return found.drop("error") if on_error == "raise" else found
 
 
 def load_chunks(spark: SparkSession, paths: str | list[str], **options) -> DataFrame:
     """(path, chunks): every file's chunks in order of its pages."""
     from kasumi.operators.chunking import chunks
 
-    pages = load(spark, paths, **options)
+    pages = load(spark, paths, **options).where("text is not null")
     own = pages.select(F.struct("path", "page").alias("at"), "text", "file_type").withColumn("key", F.to_json("at"))
     cut = chunks(own.select("key", "text", "file_type"), key="key")
     named = cut.select(F.get_json_object("key", "$.path").alias("path"), F.get_json_object("key", "$.page").cast("int").alias("page"), "chunk_index", "chunk")
