@@ -6,6 +6,8 @@ windows of one step serve the next.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -16,22 +18,44 @@ from pyspark.sql.window import Window
 from kasumi.functions.text import colour, escaped
 
 
+#: Lengths summed in one go by ``starts_of``.
+SUMMED = 64
+
+
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once: a lambda's variable is, while an expression is computed in every place and at every step of a loop."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def starts_of(lengths: Column) -> Column:
+    """ARRAY<INT>: the sum of all lengths before each; in blocks, as an array that grows is copied at every step."""
+    empty = F.array().cast("array<int>")
+
+    def summed(values: Column, length: Callable[[Column], Column]) -> Column:
+        zero = F.struct(F.lit(0).alias("at"), empty.alias("starts"))
+        return F.aggregate(values, zero, lambda held, x: F.struct((held["at"] + length(x)).alias("at"), F.concat(held["starts"], F.array(held["at"])).alias("starts")))
+
+    def whole(own: Column) -> Column:
+        last = F.floor((F.greatest(F.size(own), F.lit(1)) - 1) / F.lit(SUMMED)).cast("int")
+        blocks = F.transform(F.sequence(F.lit(0), last), lambda k: summed(F.slice(own, k * SUMMED + 1, F.lit(SUMMED)), lambda x: x))
+        return let(blocks, lambda made: F.flatten(F.zip_with(made, summed(made, lambda x: x["at"])["starts"], lambda block, base: F.transform(block["starts"], lambda x: x + base))))
+
+    return let(lengths, whole)
+
+
 def regex_hits(text: Column, pattern: str) -> Column:
     """ARRAY<STRUCT<start, end, surface>> of all (non-empty) matches.
 
     Offsets are sums of the lengths of hits and gaps, as positions of Java's matcher count UTF-16 units.
     """
-    hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.split(text, pattern, -1)
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,surface:string>>").alias("found"))
 
-    def step(held: Column, pair: Column) -> Column:
-        start = held["at"] + F.length(pair["gap"])
-        end = start + F.length(pair["hit"])
-        return F.struct(end.alias("at"), F.concat(held["found"], F.array(F.struct(start.alias("start"), end.alias("end"), pair["hit"].alias("surface")))).alias("found"))
+    def placed(pairs: Column) -> Column:
+        starts = starts_of(F.transform(pairs, lambda x: F.length(x["gap"]) + F.length(x["hit"])))
+        return F.zip_with(pairs, starts, lambda x, at: F.struct((at + F.length(x["gap"])).alias("start"), (at + F.length(x["gap"]) + F.length(x["hit"])).alias("end"), x["hit"].alias("surface")))
 
-    pairs = F.zip_with(hits, F.slice(gaps, F.lit(1), F.size(hits)), lambda hit, gap: F.struct(hit.alias("hit"), gap.alias("gap")))
-    return F.aggregate(pairs, zero, step, lambda held: held["found"])
+    hits, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
+    paired = F.zip_with(hits, gaps, lambda hit, gap: F.struct(hit.alias("hit"), gap.alias("gap")))
+    return let(F.filter(paired, lambda x: x["hit"].isNotNull()), placed)  # the last gap has no hit
 
 
 def regex_spans(docs: DataFrame, pattern: str, *, key: str = "doc_id", text: str = "text", needs: str | None = None) -> DataFrame:

@@ -10,22 +10,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kasumi import values as V
-from kasumi.operators.spans import outermost
-
-SEGMENT = "array<struct<start:int,end:int,n:int>>"
+from kasumi.operators.spans import let, outermost, starts_of
 
 
 def segments(text: Column, length: Callable[[Column], Column] = F.length) -> Column:
     """ARRAY<STRUCT<start, end, n>> of what blank lines part, blank segments left out; ``n`` is its length."""
-    parts = F.split(text, V.CHUNK_JOINER)
-    step = len(V.CHUNK_JOINER)
 
-    def add(held: Column, part: Column) -> Column:
-        end = held["at"] + F.length(part)
-        segment = F.array(F.struct(held["at"].alias("start"), end.alias("end"), length(part).cast("int").alias("n")))
-        return F.struct((end + step).alias("at"), F.when(part.rlike(r"(?U)\S"), F.concat(held["found"], segment)).otherwise(held["found"]).alias("found"))
+    def placed(parts: Column) -> Column:
+        starts = starts_of(F.transform(parts, lambda part: F.length(part) + len(V.CHUNK_JOINER)))
+        own = F.zip_with(parts, starts, lambda part, at: F.struct(at.alias("start"), (at + F.length(part)).alias("end"), length(part).cast("int").alias("n"), part.rlike(r"(?U)\S").alias("solid")))
+        return F.transform(F.filter(own, lambda x: x["solid"]), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["n"].alias("n")))
 
-    return F.aggregate(parts, F.struct(F.lit(0).alias("at"), F.array().cast(SEGMENT).alias("found")), add, lambda held: held["found"])
+    return let(F.split(text, V.CHUNK_JOINER), placed)
 
 
 def packed(segs: Column, most: int = V.WINDOW_TOKENS) -> Column:
