@@ -157,13 +157,9 @@ def confidence_label(confidence: Column) -> Column:
     return F.coalesce(either(confidence, levels), F.concat(F.lit("10 : "), confidence))
 
 
-#: Colours of labels in highlighted text.
-COLOURS = {"PERSON": "#ffb3ba", "COMPANY": "#bae1ff", "COMPANY_GROUP": "#bae1ff", "CITY": "#baffc9", "PROVINCE": "#baffc9", "COUNTRY": "#baffc9", V.PERSON: "#ffb3ba", V.COMPANY: "#bae1ff", V.TRADEMARK: "#ffdfba", V.CONTACT: "#e0bbff", V.PLACE: "#baffc9", V.OTHER: "#dddddd"}
-GREY = "#dddddd"
-
-
 def colour(label: Column) -> Column:
-    return F.coalesce(either(F.upper(label), COLOURS), F.lit(GREY))
+    return F.coalesce(either(F.upper(label), V.COLOURS), F.lit(V.PLAIN_COLOUR))
+
 
 
 def escaped(text: Column) -> Column:

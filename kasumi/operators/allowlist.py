@@ -12,6 +12,7 @@ from pyspark.sql.functions import pandas_udf
 
 from kasumi import values as V
 from kasumi.functions.text import normal, normalize
+from kasumi.operators.dictionary import sized
 
 
 @dataclass(frozen=True)
@@ -68,7 +69,9 @@ def exclude(candidates: DataFrame, allowlist: Allowlist, tokens: DataFrame | Non
     """Candidates without a dictionary vote that match are set to the excluded level; nothing is detected anew."""
     if not allowlist:
         return candidates
-    matched = normalize(F.col("surface")).isin(*sorted(allowlist.exact))
+    known = candidates.sparkSession.createDataFrame([(x, True) for x in sorted(allowlist.exact)], "__name string, __known boolean")
+    candidates = candidates.withColumn("__name", normalize(F.col("surface"))).join(sized(known, len(allowlist.exact)), "__name", "left").drop("__name")
+    matched = F.coalesce("__known", F.lit(False))
     if allowlist.embed:
         if tokens is not None:
             c, t = candidates.select(key, "start", "end").distinct().alias("c"), tokens.alias("t")
@@ -79,4 +82,4 @@ def exclude(candidates: DataFrame, allowlist: Allowlist, tokens: DataFrame | Non
             candidates = candidates.withColumn("__covered", F.lit(None).cast("array<string>"))
         matched = matched | embeds(F.col("surface"), F.col("__covered"), allowlist)
     protected = F.exists("votes", lambda v: v["channel"] == V.DICT)
-    return candidates.withColumn("confidence", F.when(~protected & matched, F.lit(V.EXCLUDED)).otherwise(F.col("confidence"))).drop("__covered")
+    return candidates.withColumn("confidence", F.when(~protected & matched, F.lit(V.EXCLUDED)).otherwise(F.col("confidence"))).drop("__covered", "__known")

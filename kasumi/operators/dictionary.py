@@ -14,6 +14,8 @@ import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
+import ahocorasick
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -72,16 +74,21 @@ def cut_by_script(text: str) -> tuple[list[int], list[int]]:
 
 
 def tokenized(docs: DataFrame, *, key: str = "doc_id", text: str = "text", cut: Cut = cut_by_script) -> DataFrame:
-    """(key, text, starts, ends). Another tokenizer (a morphological one, say) goes in as ``cut``, which is loaded once in each task."""
+    """(key, text, starts, ends). Another tokenizer (a morphological one, say) goes in as ``cut``, which is loaded once in each task.
+
+    The default one is a pattern that the JVM could match too, but not give offsets of without interpreted array functions.
+    """
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             starts, ends = [], []
             for body in batch.column(1).to_pylist():
                 a, b = cut(body or "")
-                kept = [k for k, (x, y) in enumerate(zip(a, b, strict=True)) if body[x:y].strip()] if cut is not cut_by_script else None
-                starts.append(a if kept is None else [a[k] for k in kept])
-                ends.append(b if kept is None else [b[k] for k in kept])
+                if cut is not cut_by_script:
+                    kept = [k for k, (x, y) in enumerate(zip(a, b, strict=True)) if body[x:y].strip()]
+                    a, b = [a[k] for k in kept], [b[k] for k in kept]
+                starts.append(a)
+                ends.append(b)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(starts, pa.list_(pa.int32())), pa.array(ends, pa.list_(pa.int32()))], names=[key, text, "starts", "ends"])
 
     kind = docs.schema[key].dataType.simpleString()
@@ -93,16 +100,25 @@ def tokens(tokenized_docs: DataFrame, *, key: str = "doc_id") -> DataFrame:
     kind = tokenized_docs.schema[key].dataType.simpleString()
 
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        types = None, pa.int32(), pa.int32(), pa.int32(), pa.string()
         for batch in batches:
-            held: tuple[list, ...] = ([], [], [], [], [])
-            for k in range(batch.num_rows):
-                doc, text, starts, ends = (batch.column(c)[k].as_py() for c in range(4))
-                for column, more in zip(held, ([doc] * len(starts), range(len(starts)), starts, ends, [text[a:b] for a, b in zip(starts, ends, strict=True)]), strict=True):
-                    column.extend(more)
-                if len(held[0]) >= 50_000 or k == batch.num_rows - 1:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t or batch.schema.field(0).type) for c, t in zip(held, types, strict=True)], names=[key, "i", "start", "end", "surface"])
-                    held = ([], [], [], [], [])
+            sizes = np.asarray(batch.column(2).value_lengths().fill_null(0))
+            lows = np.concatenate([[0], np.cumsum(sizes)])
+            starts, ends = (batch.column(c).flatten() for c in (2, 3))
+            first = 0
+            while first < batch.num_rows:  # as many documents as have about 50,000 tokens
+                after = max(first + 1, int(np.searchsorted(lows, lows[first] + 50_000, side="right")) - 1)
+                own = slice(int(lows[first]), int(lows[after]))
+                a, b = starts[own.start : own.stop], ends[own.start : own.stop]
+                doc = np.repeat(np.arange(first, after), sizes[first:after])
+                place = np.arange(own.start, own.stop) - lows[doc]
+                x, y = a.to_pylist(), b.to_pylist()
+                surfaces: list[str] = []
+                for k in range(first, after):
+                    if sizes[k]:
+                        text, low = batch.column(1)[k].as_py(), int(lows[k]) - own.start
+                        surfaces += [text[p:q] for p, q in zip(x[low : low + int(sizes[k])], y[low : low + int(sizes[k])], strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(doc)), pa.array(place.astype(np.int32)), a, b, pa.array(surfaces, pa.string())], names=[key, "i", "start", "end", "surface"])
+                first = after
 
     return tokenized_docs.select(key, "text", "starts", "ends").mapInArrow(listed, f"`{key}` {kind}, i int, start int, end int, surface string")
 
@@ -194,10 +210,17 @@ def match_by_document(tokenized_docs: DataFrame, terms: DataFrame, *, key: str =
     return _scan(tokenized_docs.join(own, key), key, find, "own").drop("canonical")
 
 
-def match_embedded(tokenized_docs: DataFrame, dictionary: Dictionary, *, key: str = "doc_id") -> DataFrame:
+def match_embedded(tokenized_docs: DataFrame, dictionary: Dictionary, *, key: str = "doc_id", broadcast_terms: int = BROADCAST_TERMS) -> DataFrame:
     """(key, start, end, canonical, category): terms marked ``embed`` among the sub-words of compound tokens; what one token holds never runs on into the next."""
     terms = {k: (t.canonical, t.category) for k, t in dictionary.keys().items() if t.embed}
     longest = max(map(len, terms), default=0)
+    if len(terms) > broadcast_terms:
+        rows = tokenized_docs.sparkSession.createDataFrame([(k, *v) for k, v in terms.items()], "run string, canonical string, category string")
+        hits = _embedded_grams(tokenized_docs, longest, key).join(rows, "run")
+        # of one token, named by its beginning, the leftmost and longest
+        own = F.struct(F.col(key).alias("doc"), F.col("token"))
+        kept = leftmost_longest(hits.select(own.alias("own"), "start", "end", "canonical", "category"), "own")
+        return kept.select(F.col("own.doc").alias(key), "start", "end", "canonical", "category")
 
     seen: dict[str, list[tuple[int, int, str, str]]] = {}  # a task's tokens so far, at most REMEMBERED
 
@@ -222,16 +245,56 @@ def match_embedded(tokenized_docs: DataFrame, dictionary: Dictionary, *, key: st
     return _scan(tokenized_docs, key, find)
 
 
-def leaks(token_rows: DataFrame, dictionary: Dictionary, *, key: str = "doc_id") -> DataFrame:
+def _embedded_grams(tokenized_docs: DataFrame, longest: int, key: str) -> DataFrame:
+    """(key, start, end, token, run): runs of sub-words inside compound tokens, their normalised text; ``token``: where the token begins."""
+
+    def runs(text: str, starts: list[int], ends: list[int], _: object) -> Iterator[tuple[int, int, str, str]]:
+        for a, b in zip(starts, ends, strict=True):
+            subs = [m.span() for m in re.finditer(V.SUBWORD, text[a:b])]
+            for i in range(len(subs) if len(subs) > 1 else 0):
+                run = ""
+                for j in range(i, min(i + V.MAX_TOKENS, len(subs))):
+                    run += key_of(text[a + subs[j][0] : a + subs[j][1]])
+                    if len(run) > longest:
+                        break
+                    yield a + subs[i][0], a + subs[j][1], run, str(a)
+
+    return _scan(tokenized_docs, key, runs).select(key, "start", "end", F.col("category").cast("int").alias("token"), F.col("canonical").alias("run"))
+
+
+def leaks(token_rows: DataFrame, dictionary: Dictionary, *, key: str = "doc_id", broadcast_terms: int = BROADCAST_TERMS) -> DataFrame:
     """(key, i, surface, canonical, category): tokens that hold a term without being one; an audit.
 
-    Distinct tokens are compared with terms, not every occurrence.
+    Distinct tokens are compared with terms, not every occurrence: each in one pass over an automaton of all terms, or,
+    with more terms than go to the tasks, by joining the parts of a token that have a term's length.
     """
     spark, keys = token_rows.sparkSession, dictionary.keys()
-    order = {k: n for n, k in enumerate(keys)}
-    terms = spark.createDataFrame([(k, t.canonical, t.category, order[k]) for k, t in keys.items()], "term string, canonical string, category string, rank int")
     known = token_rows.select("surface").distinct().withColumn("n", normalize(F.col("surface")))
-    whole = known.join(sized(terms.select(F.col("term").alias("n")), len(keys)), "n", "left_anti")
-    held = whole.join(sized(terms.where(F.length("term") >= 2), len(keys)), F.col("n").contains(F.col("term")))
+    inner = {k: (t.canonical, t.category, rank) for rank, (k, t) in enumerate(keys.items()) if len(k) >= 2}
+    if len(keys) > broadcast_terms:
+        terms = spark.createDataFrame([(k, t.canonical, t.category, rank) for rank, (k, t) in enumerate(keys.items())], "term string, canonical string, category string, rank int")
+        whole = known.join(terms.select(F.col("term").alias("n")), "n", "left_anti")
+        lengths = F.array(*(F.lit(n) for n in sorted({len(k) for k in inner})))
+        places = lambda size: F.sequence(F.lit(1), F.length("n") - size + 1)
+        fitting = F.filter(lengths, lambda size: size <= F.length("n"))
+        parts = whole.select("surface", F.explode(F.array_distinct(F.flatten(F.transform(fitting, lambda size: F.transform(places(size), lambda at: F.substring("n", at, size)))))).alias("term"))
+        held = parts.join(terms, "term").select("surface", "canonical", "category", "rank")
+    else:
+
+        def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held = automaton(inner)
+            for batch in batches:
+                rows = [(surface, *value) for surface, n in zip(*(c.to_pylist() for c in batch.columns), strict=True) if n and n not in keys for value in {v for _, v in held.iter(n)}] if inner else []
+                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.string(), pa.string(), pa.string(), pa.int32()))], names=["surface", "canonical", "category", "rank"])
+
+        held = known.mapInArrow(found, "surface string, canonical string, category string, rank int")
     first = held.groupBy("surface", "canonical").agg(F.min_by("category", "rank").alias("category"))
     return token_rows.join(first, "surface").select(key, "i", "surface", "canonical", "category")
+
+
+def automaton(terms: dict[str, object]) -> ahocorasick.Automaton:
+    held = ahocorasick.Automaton()
+    for term, value in terms.items():
+        held.add_word(term, value)
+    held.make_automaton()
+    return held

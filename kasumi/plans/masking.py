@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -13,7 +14,8 @@ from kasumi.functions.text import either, vote_category
 from kasumi.operators import consensus, entities, prepare
 from kasumi.operators.allowlist import Allowlist, exclude
 from kasumi.operators.dictionary import Cut, Dictionary, cut_by_script, match, match_by_document, match_embedded, tokenized, tokens
-from kasumi.operators.spans import mask, regex_spans, without_overlaps
+from kasumi.operators.recognise import Load, analysed, tag_votes, tokens_of
+from kasumi.operators.spans import leftmost_longest, mask, regex_spans, without_overlaps
 
 def settled(df: DataFrame) -> DataFrame:
     """The rows computed once: in the shared checkpoint folder if there is one, else persisted. What comes after starts from a short plan."""
@@ -25,7 +27,7 @@ def settled(df: DataFrame) -> DataFrame:
     return df.checkpoint() if held.isDefined() or folder else df.persist()
 
 
-#: A detector takes (doc_id, text) and gives (doc_id, start, end, label).
+#: A detector takes (doc_id, text) and gives (doc_id, start, end, label), with or without the surface there.
 Detector = Callable[[DataFrame], DataFrame]
 
 
@@ -49,7 +51,11 @@ class Masked:
 
 @dataclass
 class Masking:
-    """The engine's settings. Detectors of entity recognisers go by channel name, in order of their votes."""
+    """The engine's settings. Detectors of entity recognisers go by channel name, in order of their votes.
+
+    ``tagger`` is a model whose tokens vote by their parts of speech; its entities are not used. ``contacts`` are patterns
+    of contact details, each with a character that they can't lack (or None).
+    """
 
     dictionary: Dictionary = field(default_factory=Dictionary)
     detectors: dict[str, Detector] = field(default_factory=dict)
@@ -58,6 +64,8 @@ class Masking:
     flatten: bool = False
     promote: bool = True
     tokenizer: Cut = cut_by_script
+    tagger: Load | None = None
+    contacts: tuple[tuple[str, str | None], ...] = ((V.EMAIL, "@"),)
 
     def bodies(self, docs: DataFrame) -> DataFrame:
         """(doc_id, text, original_text, offset_map) of (doc_id, chunks)."""
@@ -67,9 +75,12 @@ class Masking:
     def recognised(self, texts: DataFrame) -> DataFrame | None:
         """Raw votes of recognisers and the language model; a recogniser's span is cut where no name goes on."""
         found = None
+        if self.tagger is not None:
+            votes = tag_votes(tokens_of(analysed(texts, self.tagger)))
+            found = votes.select("doc_id", "start", "end", F.lit(V.POS).alias("channel"), "label", vote_category(F.lit(V.POS), F.col("label")).alias("category"), F.lit(5).cast("long").alias("ord"))
         for k, (channel, detector) in enumerate(self.detectors.items()):
             spans = detector(texts).where(vote_category(F.lit(channel), F.col("label")).isNotNull())
-            cut = consensus.with_surfaces(spans.select("doc_id", "start", "end", "label"), texts)
+            cut = spans if "surface" in spans.columns else consensus.with_surfaces(spans.select("doc_id", "start", "end", "label"), texts)
             parts = cut.select("doc_id", F.col("start").alias("at"), "label", F.explode(_uncut(F.col("surface"))).alias("p"))
             votes = parts.select("doc_id", (F.col("at") + F.col("p.start")).cast("int").alias("start"), (F.col("at") + F.col("p.end")).cast("int").alias("end"), F.lit(channel).alias("channel"), "label", vote_category(F.lit(channel), F.col("label")).alias("category"), F.lit(10 + k).cast("long").alias("ord"))
             found = votes if found is None else found.union(votes)
@@ -81,9 +92,11 @@ class Masking:
 
     def analyze(self, docs: DataFrame, extra_terms: DataFrame | None = None) -> Analysis:
         """Candidates of (doc_id, chunks). ``extra_terms``: (doc_id, surface, category) to promote as well."""
-        bodies = settled(self.bodies(docs))
+        spark = docs.sparkSession
+        # dealt by document once: joins and windows on the document find the texts in their place
+        bodies = settled(self.bodies(docs).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "doc_id"))
         texts = bodies.select("doc_id", "text")
-        words = tokenized(texts, cut=self.tokenizer)
+        words = settled(tokenized(texts, cut=self.tokenizer)) if self.dictionary or self.promote or self.allowlist else tokenized(texts, cut=self.tokenizer)
         parts = [self.recognised(texts)]
         if self.dictionary:
             parts.append(_listed(match(words, self.dictionary), V.DICT, V.DICT_SUFFIX, 0))
@@ -101,12 +114,19 @@ class Masking:
             terms = settled(consensus.promotable(candidates, extra_terms))
             again = _listed(match_by_document(words, terms), V.SESSION, V.SESSION_SUFFIX, 2)
             candidates = consensus.resolve(votes.union(again), texts)
-        candidates = consensus.with_contacts(candidates, regex_spans(texts, V.EMAIL, needs="@"))
+        candidates = consensus.with_contacts(candidates, self.contact_spans(texts))
         candidates = consensus.demote(candidates)
         if self.allowlist:
             candidates = exclude(candidates, self.allowlist, tokens(words))
         return Analysis(bodies, words, settled(candidates))
 
+    def contact_spans(self, texts: DataFrame) -> DataFrame:
+        """(doc_id, start, end, surface) of the patterns' matches; of overlapping ones the leftmost, then the longest."""
+        found = [regex_spans(texts, pattern, needs=needs) for pattern, needs in self.contacts]
+        if not found:
+            return texts.sparkSession.createDataFrame([], f"doc_id {texts.schema['doc_id'].dataType.simpleString()}, start int, end int, surface string")
+        return found[0] if len(found) == 1 else leftmost_longest(reduce(DataFrame.union, found))
+
     def expanded(self, analysis: Analysis, selected: DataFrame) -> DataFrame:
         """The selected candidates and all other occurrences of their surfaces, in order."""
         own = entities.keyed(selected.withColumn("ord", F.monotonically_increasing_id()) if "ord" not in selected.columns else selected)

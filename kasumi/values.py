@@ -53,7 +53,7 @@ POS_PREFIXES = {"名詞-固有名詞-人名": PERSON, "名詞-固有名詞-地
 DICT, SESSION, REGEX, LLM, POS, COLLECTED = "dict", "session", "regex", "llm", "sudachi", "collected"
 DECISIVE = (DICT, SESSION, REGEX)
 #: Fixed: suffixes of vote labels.
-DICT_SUFFIX, EMBED_SUFFIX, SESSION_SUFFIX = "(辞書)", "(辞書・内包)", "(確認済)"
+DICT_SUFFIX, EMBED_SUFFIX, SESSION_SUFFIX = "(辞書)", "(辞書·内包)", "(確認済)"
 #: Fixed: most tokens of a term.
 MAX_TOKENS = 12
 #: Fixed: an e-mail address in running text.
@@ -97,3 +97,13 @@ CHUNKING = {
 PIECE_BYTES, WINDOW_TOKENS, WINDOW_OVERLAP, BATCH_CHARS = 40_000, 15_000, 0, 20_000
 #: Fixed: characters of context beside a span.
 CONTEXT = 20
+#: Fixed: colours of marked text by family of labels (upper case), and of all other labels.
+COLOUR_FAMILIES = {
+    "#ff8fab": ("PERSON", PERSON),
+    "#ffab5e": ("COMPANY", "COMPANY_GROUP", "CORPORATION_OTHER", "SHOW_ORGANIZATION", "INTERNATIONAL_ORGANIZATION", "POLITICAL_ORGANIZATION_OTHER", "GOVERNMENT", "POLITICAL_PARTY", "SPORTS_ORGANIZATION_OTHER", COMPANY),
+    "#c792ea": ("PRODUCT_OTHER", "AWARD", "DECORATION", "OFFENSE", "SERVICE", "CLASS", TRADEMARK),
+    "#4fc3b0": ("CITY", "PROVINCE", "COUNTRY", "GPE_OTHER", "ADDRESS", "POSTAL_ADDRESS", "GEOLOGICAL_REGION_OTHER", "LOCATION_OTHER", "DOMESTIC_REGION_OTHER", "CONTINENTAL_REGION_OTHER", "FACILITY_OTHER", "FACILITY_PART", "STATION", "AIRPORT", PLACE),
+    "#6cb6ff": ("PHONE_NUMBER", "EMAIL", "URL", CONTACT),
+}
+PLAIN_COLOUR = "#dcdcdc"
+COLOURS = {label: colour for colour, labels in COLOUR_FAMILIES.items() for label in labels}
