@@ -414,18 +414,35 @@ def pdf_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents(spark, sf_dir).select("doc_id", chunking.clean_pdf(F.col("text")).alias("text"))
 
 
-@query()
-def prepared_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lengths of prepared bodies and of their maps."""
-    made = documents(spark, sf_dir).select("doc_id", prepare.body(F.split("text", "\n"), flatten=True).alias("b"))
-    return made.select("doc_id", F.length("b.text").alias("chars"), F.length("b.original_text").alias("original_chars"), F.size("b.offset_map").alias("mapped"))
+PADDED_SQL = twice(twice(twice("flat", f"({CLOSE_SQL})({OPEN_SQL})", chr(92) + "1  " + chr(92) + "2"), f"([^ {chr(92)}s])({OPEN_SQL})", chr(92) + "1 " + chr(92) + "2"), f"({CLOSE_SQL})([^ {chr(92)}s])", chr(92) + "1 " + chr(92) + "2")
 
 
-@query()
+@query(f"""with lines as (select doc_id, i, l[i] as line from (select doc_id, l, unnest(range(1, len(l) + 1)) as i from (select doc_id, string_split(text, chr(10)) as l from documents))),
+parted as (select *, list_filter(list_transform(string_split(line, '|'), lambda c: trim(c, chr(32) || chr(9) || chr(13))), lambda c: c <> '') as cells from lines),
+flattened as (select doc_id, i, line, case when not contains(line, '|') then line when len(cells) = 0 or len(list_filter(cells, lambda c: not regexp_full_match(c, ':?-+:?'))) = 0 then '' else array_to_string(cells, '{V.CELL_JOINER}') || '{V.ROW_END}' end as flat from parted),
+padded as (select doc_id, i, line, {PADDED_SQL} as text from flattened),
+kept as (select * from padded where regexp_matches(text, '\S'))
+select d.doc_id, coalesce(string_agg(k.text, chr(10) || chr(10) order by k.i), '') as text, coalesce(string_agg(k.line, chr(10) || chr(10) order by k.i), '') as original_text from documents d left join kept k using (doc_id) group by d.doc_id""")
+def prepared_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prepared bodies of documents, a chunk for each line, beside the originals that offsets lead back to."""
+    made = documents(spark, sf_dir).select("doc_id", prepare.body(F.split("text", "\n"), flatten=True).alias("b"))
+    return made.select("doc_id", "b.text", "b.original_text")
+
+
+@query("""with recursive lines as (select doc_id, unnest(range(1, len(l) + 1)) as i, unnest(l) as line, whole from (select doc_id, string_split(text, chr(10)) as l, strlen(text) as whole from documents)),
+chars as (select doc_id, i, unnest(range(1, length(line) + 1)) as pos, line from lines where whole > 2000 and strlen(line) > 2000),
+summed as (select doc_id, i, pos, sum(strlen(substring(line, pos, 1))) over (partition by doc_id, i order by pos) as bytes from chars),
+cuts as (select doc_id, i, cast(0 as bigint) as after, cast(0 as hugeint) as bytes from (select distinct doc_id, i from chars)
+union all select c.doc_id, c.i, max(s.pos), max(s.bytes) from cuts c join summed s on s.doc_id = c.doc_id and s.i = c.i and s.pos > c.after and s.bytes <= c.bytes + 2000 group by c.doc_id, c.i),
+long as (select c.doc_id, c.i, row_number() over (partition by c.doc_id, c.i order by c.after) as part, substring(l.line, c.before + 1, c.after - c.before) as text from (select *, lag(after) over (partition by doc_id, i order by after) as before from cuts) c join lines l on l.doc_id = c.doc_id and l.i = c.i where c.before is not null),
+walk as (select doc_id, i, 0 as run, strlen(line) as held from lines where i = 1 and whole > 2000
+union all select l.doc_id, l.i, case when w.held > 0 and w.held <= 2000 and w.held + 1 + strlen(l.line) <= 2000 then w.run else w.run + 1 end, case when w.held > 0 and w.held <= 2000 and w.held + 1 + strlen(l.line) <= 2000 then w.held + 1 + strlen(l.line) else strlen(l.line) end from walk w join lines l on l.doc_id = w.doc_id and l.i = w.i + 1),
+short as (select w.doc_id, min(w.i) as i, 0 as part, string_agg(l.line, chr(10) order by w.i) as text from walk w join lines l on l.doc_id = w.doc_id and l.i = w.i where strlen(l.line) <= 2000 group by w.doc_id, w.run)
+select doc_id, cast(row_number() over (partition by doc_id order by i, part) - 1 as bigint) as piece, text from (select * from short where text <> '' union all select * from long) union all select doc_id, 0, text from documents where strlen(text) <= 2000""")
 def byte_safe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pieces of at most 2,000 bytes."""
     own = documents(spark, sf_dir).select("doc_id", F.posexplode(prepare.byte_safe(F.col("text"), 2000)).alias("piece", "text"))
-    return own.select("doc_id", "piece", F.octet_length("text").alias("bytes"))
+    return longs(own.select("doc_id", "piece", "text"))
 
 
 PARAGRAPHS_SQL = "select doc_id, replace(text, chr(10), chr(10) || chr(10)) as text from documents"
@@ -444,20 +461,37 @@ def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return longs(own.select("doc_id", "s.start", "s.end", "s.n"))
 
 
-@query(f"""with recursive {SEGMENTS_SQL},
+WALK_SQL = f"""{SEGMENTS_SQL},
 walk as (select doc_id, k, start, "end", n, 0 as win, n as held from segs where k = 1
-union all select s.doc_id, s.k, s.start, s."end", s.n, case when w.held + s.n <= 1000 then w.win else w.win + 1 end, case when w.held + s.n <= 1000 then w.held + s.n else s.n end from walk w join segs s on s.doc_id = w.doc_id and s.k = w.k + 1)
-select doc_id, cast(win as bigint) as win, min(start) as start, max("end") as "end" from walk group by doc_id, win""")
+union all select s.doc_id, s.k, s.start, s."end", s.n, case when w.held + s.n <= 1000 then w.win else w.win + 1 end, case when w.held + s.n <= 1000 then w.held + s.n else s.n end from walk w join segs s on s.doc_id = w.doc_id and s.k = w.k + 1)"""
+
+
+@query(f"""with recursive {WALK_SQL} select doc_id, cast(win as bigint) as win, min(start) as start, max("end") as "end" from walk group by doc_id, win""")
 def llm_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return longs(windows.windows(paragraphs(spark, sf_dir), most=1000))
 
 
-@query()
+def overlapping_sql(overlap: int) -> str:
+    """Windows whose first segment reaches back until the segments before have ``overlap`` characters."""
+    return f"""{WALK_SQL},
+summed as (select *, sum(n) over (partition by doc_id order by k) as c from segs),
+wins as (select doc_id, win, min(k) as first, max(k) as last from walk group by doc_id, win),
+reached as (select w.doc_id, w.win, w.last, coalesce(min(p.k), w.first) as first from wins w join summed f on f.doc_id = w.doc_id and f.k = w.first
+left join summed p on p.doc_id = w.doc_id and w.win > 0 and p.k < w.first and f.c - f.n - p.c < {overlap} group by w.doc_id, w.win, w.last, w.first),
+windows as (select r.doc_id, cast(r.win as bigint) as win, a.start, b."end" from reached r join segs a on a.doc_id = r.doc_id and a.k = r.first join segs b on b.doc_id = r.doc_id and b.k = r.last)"""
+
+
+@query(f'with recursive {overlapping_sql(200)} select doc_id, win, start, "end" from windows')
 def llm_windows_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return longs(windows.windows(paragraphs(spark, sf_dir), most=1000, overlap=200))
 
 
-@query()
+@query(f"""with recursive {overlapping_sql(100)},
+cut as (select w.*, substring(p.text, w.start + 1, w."end" - w.start) as body from windows w join ({PARAGRAPHS_SQL}) p using (doc_id)),
+named as (select *, regexp_extract(body, '[a-z]{{8,}}') as word from cut),
+found as (select distinct doc_id, start + n as start, start + n + length(word) as "end" from (select *, unnest(list_transform(range(1, len(parts)), lambda i: cast(list_sum(list_transform(parts[1:i], lambda x: length(x))) + (i - 1) * length(word) as bigint))) as n from (select *, string_split(body, word) as parts from named where word <> '')))
+select doc_id, start, "end", 'Person' as label, 'exact' as how from found f
+where not exists (select 1 from found g where g.doc_id = f.doc_id and g.start <= f.start and f."end" <= g."end" and (g.start < f.start or f."end" < g."end"))""")
 def llm_detection(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A stand-in detector called on every window: the first long word."""
     import re
@@ -470,11 +504,14 @@ def llm_detection(spark: SparkSession, sf_dir: str) -> DataFrame:
     return longs(found.select("doc_id", "start", "end", "label", "how"))
 
 
-@query()
+@query("""with recursive turns as (select conv_id, turn, text, row_number() over (partition by conv_id order by turn, text) as k from conversations where text is not null),
+walk as (select conv_id, k, turn, text, 0 as batch, length(text) as held from turns where k = 1
+union all select t.conv_id, t.k, t.turn, t.text, case when w.held + length(t.text) <= 2000 then w.batch else w.batch + 1 end, case when w.held + length(t.text) <= 2000 then w.held + length(t.text) else length(t.text) end from walk w join turns t on t.conv_id = w.conv_id and t.k = w.k + 1)
+select conv_id, turn, cast(batch as bigint) as batch, text from walk""")
 def char_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Turns of conversations in batches of at most 2,000 characters."""
     turns = table(spark, sf_dir, "conversations").select("conv_id", F.col("turn").alias("ord"), "text").where("text is not null")
-    return windows.batches(turns, key="conv_id", most=2000).groupBy("conv_id", "batch").agg(F.count("*").alias("turns"), F.sum(F.length("text")).alias("chars"))
+    return longs(windows.batches(turns, key="conv_id", most=2000).select("conv_id", F.col("ord").alias("turn"), "batch", "text"))
 
 
 @query()
@@ -482,7 +519,7 @@ def chunk_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chunks of all documents as plain text, Markdown or tables, by id."""
     kinds = F.element_at(F.array(*map(F.lit, ("txt", "md", "pdf", "xlsx"))), (F.pmod("doc_id", F.lit(4)) + 1).cast("int"))
     own = chunking.chunks(documents(spark, sf_dir).withColumn("file_type", kinds))
-    return own.select("doc_id", "chunk_index", F.length("chunk").alias("chars"))
+    return own.select("doc_id", "chunk_index", "chunk")
 
 
 @query()
@@ -581,10 +618,20 @@ def label_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.counts(votes(documents(spark, sf_dir)), "label")
 
 
-@query()
+def escaped_sql(text: str) -> str:
+    for raw, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#x27;")):
+        text = f"replace({text}, {quoted(raw)}, {quoted(entity)})"
+    return text
+
+
+@query(f"""with hits as (select doc_id, list({{'s': start, 'e': "end", 'l': label}} order by start, "end" desc, label) as hits from (select distinct doc_id, start, "end", label from ({VOTES_SQL})) group by doc_id),
+kept as (select doc_id, unnest(list_reduce(list_transform(hits, lambda h: [h]), lambda kept, h: case when h[1].s >= kept[-1].e then kept || h else kept end)) as h from hits),
+parts as (select doc_id, h.s as s, h.e as e, h.l as l, lag(h.e, 1, 0) over (partition by doc_id order by h.s) as before from kept),
+marked as (select p.doc_id, max(p.e) as last, string_agg({escaped_sql('substring(d.text, p.before + 1, p.s - p.before)')} || '<mark style="background:' || {cases('upper(p.l)', V.COLOURS, quoted(V.PLAIN_COLOUR))} || '">' || {escaped_sql('substring(d.text, p.s + 1, p.e - p.s)')} || ' <small>' || {escaped_sql('p.l')} || '</small></mark>', '' order by p.s) as body from parts p join documents d using (doc_id) group by p.doc_id)
+select d.doc_id, replace(coalesce(m.body, '') || {escaped_sql('substring(d.text, coalesce(m.last, 0) + 1)')}, chr(10), '<br>') as html from documents d left join marked m using (doc_id)""")
 def highlight_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
-    return spans.highlighted(docs, votes(docs).select("doc_id", "start", "end", "label")).select("doc_id", F.length("html").alias("chars"))
+    return spans.highlighted(docs, votes(docs).select("doc_id", "start", "end", "label"))
 
 
 @query(f"select label, count(*) as spans from ({VOTES_SQL}) where label in ('PERSON', 'Person') group by label")
@@ -606,19 +653,81 @@ def pipeline_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.state(own.withColumn("chunk_count", F.lit(1)), ner, llm, ner.limit(0))
 
 
-@query()
+def contacts_put_sql(text: str, placeholder: str) -> str:
+    """(doc_id, masked): all documents with ``placeholder`` in place of contacts and ``text`` of what is between."""
+    return f"""{NUMBERED_SQL},
+parts as (select k.doc_id, k.start, k."end", n.placeholder, lag(k."end", 1, 0) over (partition by k.doc_id order by k.start) as before from keyed k join numbered n using (doc_id, entity)),
+put as (select p.doc_id, string_agg({text.format('substring(d.text, p.before + 1, p.start - p.before)')} || {placeholder}, '' order by p.start) as body, max(p."end") as last from parts p join documents d using (doc_id) group by p.doc_id),
+whole as (select d.doc_id, coalesce(p.body, '') || {text.format('substring(d.text, coalesce(p.last, 0) + 1)')} as masked from documents d left join put p using (doc_id))"""
+
+
+@query(f"with {contacts_put_sql(escaped_sql('{}'), chr(39) + '<mark>' + chr(39) + ' || p.placeholder || ' + chr(39) + '</mark>' + chr(39))} select doc_id, replace(masked, chr(10), '<br>') as html from whole")
 def readable_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     found = placed_contacts(docs)
-    return reports.readable(spans.mask(docs, entities.placed(found)), entities.mapping(found)).select("doc_id", F.length("html").alias("chars"))
+    return reports.readable(spans.mask(docs, entities.placed(found)), entities.mapping(found))
 
 
-@query()
+@query(f"with {contacts_put_sql('{}', 'p.placeholder')} select doc_id, masked as masked_text from whole")
 def expanded_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One selected occurrence of each contact, masked everywhere (by entity) and where it is (by occurrence)."""
+    """The first occurrence of each contact is chosen, and every other one is found and masked with it."""
     masking = Masking()
     analysis = masking.analyze(chunked(documents(spark, sf_dir)))
-    one = analysis.candidates.dropDuplicates(["doc_id", "surface"])
-    everywhere, there = masking.apply(analysis, one), masking.apply(analysis, one, expand=False)
-    joined = everywhere.texts.withColumnRenamed("masked_text", "all_masked").join(there.texts.withColumnRenamed("masked_text", "one_masked"), "doc_id")
-    return joined.select("doc_id", F.length("all_masked").alias("all_chars"), F.length("one_masked").alias("one_chars"))
+    first = analysis.candidates.groupBy("doc_id", "surface").agg(F.min("start").alias("start"))
+    return masking.apply(analysis, analysis.candidates.join(first, ["doc_id", "surface", "start"], "left_semi")).texts
+
+
+@query(f"""with {CANDIDATES_SQL}, strong as (select doc_id, {ENTITY_SQL} as key_text, category, start, "end" from candidates where confidence = '{V.STRONG}' and category not in ('{V.PLACE}', '{V.OTHER}') and not regexp_matches(surface, '[{V.SEPARATORS}]'))
+select doc_id, key_text, arg_min(category, start) as category from strong where key_text <> '' group by doc_id, key_text""")
+def promoted_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Surfaces that are strong once, and so are looked for in their whole document."""
+    return consensus.promotable(resolved(spark, sf_dir))
+
+
+LISTED_SQL = f"""{HITS_SQL},
+votes as ({VOTES_SQL} union all select doc_id, h.s, h.e, '{V.DICT}', h.g || '{V.DICT_SUFFIX}', -1 from kept),
+marked as (select *, case when start < max("end") over (partition by doc_id order by start, "end", ord, channel, label rows between unbounded preceding and 1 preceding) then 0 else 1 end as fresh from votes),
+clustered as (select *, sum(fresh) over (partition by doc_id order by start, "end", ord, channel, label rows between unbounded preceding and current row) as cluster from marked),
+anchors as (select distinct doc_id, cluster, start, "end" from clustered where channel = '{V.DICT}'),
+unheld as (select distinct doc_id, cluster, start, "end" from clustered v where channel <> '{V.DICT}' and (doc_id, cluster) in (select (doc_id, cluster) from anchors)
+    and not exists (select 1 from anchors a where a.doc_id = v.doc_id and a.cluster = v.cluster and (v.start <= a.start and a."end" <= v."end" or a.start <= v.start and v."end" <= a."end"))),
+parted as (select *, sum(fresh) over (partition by doc_id, cluster order by start, "end") as part from (select *, case when start < max("end") over (partition by doc_id, cluster order by start, "end" rows between unbounded preceding and 1 preceding) then 0 else 1 end as fresh from unheld)),
+extents as (select doc_id, cluster, start as s, "end" as e from anchors union select doc_id, cluster, min(start), max("end") from parted group by doc_id, cluster, part
+    union select doc_id, cluster, min(start), max("end") from clustered where (doc_id, cluster) not in (select (doc_id, cluster) from anchors) group by doc_id, cluster),
+surfaced as (select x.*, substring(d.text, s + 1, e - s) as surface from extents x join documents d using (doc_id)),
+judged as (select *, {code_sql('surface')} as code, {nonperson_sql('surface')} as nonperson from surfaced),
+ranked as (select j.*, c.channel, c.label, c.start as vs, c."end" as ve, c.ord, {VOTE_SQL} as vote from judged j join clustered c on c.doc_id = j.doc_id and c.cluster = j.cluster and c.start < j.e and j.s < c."end"),
+opinions as (select doc_id, s, e, surface, arg_min(case when channel = '{V.DICT}' then regexp_extract(label, '^[^(]*') end, vs * 1000000 + ve) filter (channel = '{V.DICT}') as listed,
+    min(case when channel not in ('{V.LLM}', '{V.DICT}') and vote is not null then case when (vote = '{V.PERSON}' and (code or nonperson)) or (vote = '{V.COMPANY}' and code) then {RANKS[V.OTHER]} else {cases('vote', RANKS)} end end) as ner,
+    min(case when channel = '{V.LLM}' then {cases('vote', RANKS)} end) as llm, count(distinct channel || label) as votes from ranked group by all)"""
+
+
+@query(f"""with {LISTED_SQL.removeprefix('with ')}
+select doc_id, s as start, e as "end", surface, votes, coalesce(listed, {cases('cast(least(coalesce(ner, 99), coalesce(llm, 99)) as varchar)', {str(k): c for c, k in RANKS.items()})}) as category,
+case when listed is not null then '{V.SURE}' else case cast(coalesce(ner, 9) < {RANKS[V.PLACE]} as integer) + cast(coalesce(llm, 9) < {RANKS[V.PLACE]} as integer) when 2 then '{V.STRONG}' when 1 then '{V.MEDIUM}' else '{V.WEAK}' end end as confidence from opinions""")
+def anchored_consensus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidates where dictionary terms split the clusters that they are in."""
+    docs = documents(spark, sf_dir)
+    found = dictionary.match(dictionary.tokenized(docs), TERMS)
+    listed = found.select("doc_id", "start", "end", F.lit(V.DICT).alias("channel"), F.concat("category", F.lit(V.DICT_SUFFIX)).alias("label"), "category", F.lit(-1).cast("long").alias("ord"))
+    return longs(consensus.resolve(votes(docs).union(listed), docs).withColumn("votes", F.size("votes")))
+
+
+@query(f"""{HITS_SQL}, spans as (select doc_id, h.s as s, h.c as canonical, h.g as category, replace(lower(h.c), ' ', '') as entity, substring(text, h.s + 1, h.e - h.s) as surface from kept join documents using (doc_id)),
+firsts as (select doc_id, entity, min(s) as first, min(category) as category, bool_or(canonical = 'the') as own from spans group by doc_id, entity),
+named as (select *, case when own then '[T]' else '[' || {cases('category', V.PREFIXES)} || row_number() over (partition by doc_id, category, own order by first) || ']' end as placeholder from firsts),
+kinds as (select doc_id, entity, surface, min(s) as s from spans group by all)
+select doc_id, placeholder, category, string_agg(surface, '/' order by s) as surfaces from named join kinds using (doc_id, entity) group by doc_id, entity, placeholder, category""")
+def custom_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mapping of all dictionary terms, one of which has a mask of its own."""
+    docs = documents(spark, sf_dir)
+    found = consensus.with_surfaces(dictionary.match(dictionary.tokenized(docs), TERMS), docs)
+    chosen = entities.ordered(found.drop("canonical").withColumn("confidence", F.lit(V.SURE)))
+    return entities.mapping(chosen, TERMS).select("doc_id", "placeholder", "category", F.array_join("surfaces", "/").alias("surfaces"))
+
+
+@query(f'select doc_id, start, "end", surface from ({CONTACTS_SQL})')
+def original_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contacts found in flattened and padded bodies, as spans of the original."""
+    bodies = Masking(flatten=True).bodies(chunked(documents(spark, sf_dir)))
+    return longs(prepare.to_original(contacts(bodies.select("doc_id", "text")), bodies))
