@@ -13,8 +13,8 @@ preformatted text as it is.
 Nulls and edge cases: null HTML gives null, empty HTML the empty text; text without
 tags is text; a tag that never ends swallows the rest, as in browsers; elements
 nested deeper than ``DEEPEST`` go beside each other; pages of any length are read
-whole; repeated rows give repeated rows; an empty table gives no rows; other
-columns pass through only as asked for.
+whole; repeated rows, and rows that repeat an id, give a row each; an empty table
+gives no rows; other columns are left out, whatever their names.
 """
 
 from __future__ import annotations
@@ -66,8 +66,9 @@ ENDS = {
 NAME = r"[^ \t\n\f\r/>][^ \t\n\f\r/>=]*+"
 EQUALS = r"[ \t\n\f\r]*+=[ \t\n\f\r]*+"
 UNQUOTED = r"[^ \t\n\f\r>\"'][^ \t\n\f\r>]*+"
-START = re.compile(rf"<([a-zA-Z][^ \t\n\f\r/>]*+)((?:[ \t\n\f\r/]++|{NAME}(?:{EQUALS}(?:\"[^\"]*+\"|'[^']*+'|{UNQUOTED}|(?=>))|(?!{EQUALS})))*+)>")
-END = re.compile(r"</([a-zA-Z][^\s/>]*)[^>]*>")
+TAG = re.compile(rf"<(/?)([a-zA-Z][^ \t\n\f\r/>]*+)((?:[ \t\n\f\r/]++|{NAME}(?:{EQUALS}(?:\"[^\"]*+\"|'[^']*+'|{UNQUOTED}|(?=>))|(?!{EQUALS})))*+)>")
+#: Where a comment ends; one that begins with its end is empty.
+COMMENT_END, EMPTY_COMMENT = re.compile("--!?>"), re.compile("<!--(?:-?>|--!?>)")
 ATTRIBUTE = re.compile(rf"({NAME})(?:{EQUALS}(?:\"([^\"]*+)\"|'([^']*+)'|({UNQUOTED})|))?")
 #: The end tag of each raw element.
 RAW_END = {tag: re.compile(rf"</{tag}(?=[ \t\n\f\r/>])", re.I | re.A) for tag in RAW}
@@ -196,25 +197,30 @@ def parse(html: str) -> Builder:
         if following == "!" or following == "?":
             tree.text(html[at:begin])
             if html.startswith("<!--", begin):
-                stop = html.find("-->", begin + 4)
-                at = size if stop < 0 else stop + 3
+                ended = EMPTY_COMMENT.match(html, begin) or COMMENT_END.search(html, begin + 4)
+                at = ended.end() if ended else size
             else:
                 stop = html.find(">", begin)
                 at = size if stop < 0 else stop + 1
         elif following == "/":
             tree.text(html[at:begin])
-            if found := END.match(html, begin):
-                tree.end(found[1].lower())
+            if found := TAG.match(html, begin):
+                tree.end(found[2].lower())
                 at = found.end()
+            elif html[begin + 2 : begin + 3].isascii() and html[begin + 2 : begin + 3].isalpha():
+                break  # a tag that never ends
+            elif begin + 2 == size:
+                tree.text("</")
+                break
             else:  # what isn't a name makes a comment
                 stop = html.find(">", begin)
                 at = size if stop < 0 else stop + 1
         elif following.isalpha() and following.isascii():
             tree.text(html[at:begin])
-            found = START.match(html, begin)
+            found = TAG.match(html, begin)
             if not found:
                 break
-            tag, raw = found[1].lower(), found[2]
+            tag, raw = found[2].lower(), found[3]
             at = found.end()
             closed = raw.endswith("/")
             tree.start(tag, attributes(raw) if raw.strip(" /\n") else {}, closed)
@@ -228,8 +234,8 @@ def parse(html: str) -> Builder:
                     tree.stack[-1].children.append(inner)
                 if tree.stack[-1].tag == tag:
                     tree.stack.pop()
-                close = -1 if stop < 0 else html.find(">", stop)
-                at = size if close < 0 else close + 1
+                close = TAG.match(html, stop) if ended else None
+                at = close.end() if close else size
         else:
             tree.text(html[at : begin + 1])
             at = begin + 1

@@ -13,8 +13,9 @@ under the languages chosen and in their proportions, as n-grams in random bucket
 1 if as likely as those that the languages were learnt from. Where a least likeness
 is asked for, a text below it is ``und``; one of less than a window is not judged.
 
-Models are fitted on at most about ``TRAIN_ROWS`` documents of each language,
-those of the smallest hashes of their ids.
+Models are fitted on at most about ``TRAIN_ROWS`` documents of each of the
+``MOST_LANGUAGES`` languages with most documents, those of the smallest hashes of
+their ids, so that a column full of odd names takes no more of the driver.
 
 Nulls and edge cases: a null text or one without a letter is ``und`` with score
 0, as is every text when nothing can be learnt; a row without an id is predicted
@@ -40,6 +41,8 @@ from kasumi.llm.common import runs, strings
 TRAIN_ROWS, BITS, WINDOW, TEMPER = 4_000, 17, 24, 4.0
 #: Rounds of expectation-maximisation; pseudo-windows shared by all languages; likelihood that one more language must bring.
 ROUNDS, PRIOR, PENALTY = 12, 0.5, 3.0
+#: Languages that are learnt, those of most documents; a model has half a megabyte for each.
+MOST_LANGUAGES = 128
 UNKNOWN = "und"
 #: The likeness below which a text fits no language: twice what random letters reach.
 LEAST_LIKENESS = 0.04
@@ -147,9 +150,10 @@ def learn(docs: DataFrame, *, usable: Column | None = None, id_col: str = "doc_i
     """A model of the usable rows' languages. Only languages by buckets come to the driver."""
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), (F.lit(True) if usable is None else usable).alias("usable"))
     known = docs.where("usable and id is not null and lang is not null and text is not null")
-    sizes = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    sizes = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES).collect()}
     if not sizes:
         return Model.fit({})
+    known = known.where(F.col("lang").isin(list(sizes)))
     shares = F.create_map(*(F.lit(x) for lang, n in sizes.items() for x in (lang, min(1.0, rows / n))))
     picked = known.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < F.element_at(shares, F.col("lang")) * (1 << 30)).select("lang", "text", "id")
 

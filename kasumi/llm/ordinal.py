@@ -14,7 +14,9 @@ scored.
 Nulls and edge cases: a null text is scored as the empty text; rows without a
 rating or an id teach nothing; an id rated twice counts as often; without any
 rating all weights are zero; a grade nobody gave has no threshold of its own;
-texts of any length are read whole; an empty table gives no rows.
+texts of any length are read whole; repeated rows are scored alike; an empty table
+gives no rows; columns named like the results are replaced, others pass through as
+asked for.
 """
 
 from __future__ import annotations

@@ -10,8 +10,10 @@ remainder comes as a shorter first piece, so that only remainders and short
 documents need a bin.
 
 Nulls and edge cases: a null or empty text has the end token alone; a null id is
-kept as null; repeated ids are packed like any others; an empty table gives no
-rows; columns other than the id and the text are ignored.
+kept as null; repeated ids and repeated rows are packed like any others, each for
+itself; texts of any length are taken whole; pieces of equal length keep the order of
+their documents; an empty table gives no rows; columns other than the id and the text
+are ignored, whatever their names.
 """
 
 from __future__ import annotations
