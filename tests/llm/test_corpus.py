@@ -360,6 +360,51 @@ def test_slopes_are_those_of_the_likelihood(monkeypatch):
     assert found == sorted(found) and found[-1] > 0.4 * found[0]
 
 
+def test_the_fit_is_that_of_the_full_likelihood(monkeypatch):
+    """Against a dense model with all features at once, climbed until nothing moves."""
+    rng = np.random.default_rng(3)
+    n, width = 600, 40
+    dense = (rng.random((n, width)) < 0.3).astype(float)
+    truth = np.where(np.arange(width) < 8, 1.2, 0) - np.where(np.arange(width) >= 34, 1.0, 0)
+    score = dense @ truth + rng.logistic(size=n)
+    grades = (score > 1.5).astype(int) + (score > 3.5)
+    docs = [np.flatnonzero(x).astype(np.uint32) for x in dense]
+    sigmoid = lambda x: 1 / (1 + np.exp(-x))
+
+    def parts(w, t):
+        over = sigmoid((dense @ w)[:, None] - t)
+        full = np.concatenate([np.ones((n, 1)), over, np.zeros((n, 1))], axis=1)
+        upper, lower = full[np.arange(n), grades], full[np.arange(n), grades + 1]
+        return upper, lower, np.maximum(upper - lower, 1e-12)
+
+    w, t = np.zeros(width), np.array([-0.5, 0.5])
+    for _ in range(20_000):
+        upper, lower, gone = parts(w, t)
+        w = w + 0.5 * (dense.T @ ((upper * (1 - upper) - lower * (1 - lower)) / gone) / n - ordinal.RIDGE * w)
+        t = t + 0.5 * np.array([(np.where(grades == k, lower * (1 - lower) / gone, 0) - np.where(grades == k + 1, upper * (1 - upper) / gone, 0)).mean() for k in range(2)])
+    best = np.log(parts(w, t)[2]).mean()
+    model = ordinal.fit(docs, grades, 3)
+    mine = np.log(parts(model.weights[:width].astype(float), model.thresholds)[2]).mean()
+    assert mine > best - 0.03
+    exact, fitted = sigmoid((dense @ w)[:, None] - t), sigmoid((dense @ model.weights[:width])[:, None] - model.thresholds)
+    assert np.abs(exact - fitted).mean() < 0.05 and np.mean((exact > 0.5) == (fitted > 0.5)) > 0.95
+
+
+def test_grades_with_clashing_columns(spark):
+    docs = spark.createDataFrame([(k, f"good text number {k}" if k % 2 else "bad *** text", "x", "y") for k in range(60)], "doc_id long, text string, grade string, tail_probability string")
+    rated = spark.createDataFrame([(k, k % 2, 0) for k in range(40)], "doc_id long, quality int, toxic int")
+    model = ordinal.learn(docs, ordinal.grades(rated), levels=3)
+    got = ordinal.predict(docs, model, keep=["doc_id", "grade", "tail_probability"], reach=2)
+    assert dict(got.dtypes)["tail_probability"] == "double" and dict(got.dtypes)["grade"] == "string"
+    assert all((r.tail_probability >= ordinal.KEEP) == (r.doc_id % 2 == 1) for r in got.collect())
+
+
+def test_odd_names_of_languages_are_bounded(spark, languages, monkeypatch):
+    monkeypatch.setattr(mixture_lid, "MOST_LANGUAGES", 3)
+    odd = languages.union(spark.createDataFrame([(1000 + k, "lorem ipsum", f"name {k}") for k in range(30)], languages.schema))
+    assert mixture_lid.learn(odd).languages == ("xx", "yy", "zz")
+
+
 # --- queries and the pipeline ---------------------------------------------------------------------
 
 DIR = "/root/testdata/sf0.001"
@@ -390,6 +435,7 @@ def test_pipeline(spark, tmp_path):
     rows = [tuple(r[c] for c in corpus_pipeline.COLUMNS) for r in source]
     passage = " ".join(source[3].text.split()[:55] or ["x"])
     rows += [(90_001, None, "en", "s", 0), (90_002, "12 34", None, "s", 5), (90_003, source[0].text, "en", "s", 1), (90_004, sentence(rng, "xx", 60), None, None, None)]
+    rows += [(None, sentence(rng, "xx", 80), "en", "s", 1), (92_000, sentence(rng, "xx", 70), "en", "s", 1), (92_000, sentence(rng, "yy", 70), "en", "s", 1)]
     for k in range(2):
         rows.append((91_000 + k, sentence(rng, "zz", 40) + str(k) + " " + passage, "en", "s", 0))
     shape = "doc_id long, text string, lang string, source string, n_chars long"
@@ -406,8 +452,10 @@ def test_pipeline(spark, tmp_path):
             assert docs.columns == corpus_pipeline.COLUMNS
         if k == 0:
             assert before - after == {90_001, 90_002}
-        if k == 2:
+        if k == 2:  # neither a repeated id nor a missing one costs a row
             assert 90_003 not in after or rows[0][0] not in before
+            assert docs.where("doc_id = 92000").count() == stayed and (None in before) == (None in after)
+        stayed = docs.where("doc_id = 92000").count()
     assert {r.doc_id for r in docs.select("doc_id").collect()} == before
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == docs.count()
     (tmp_path / "empty").mkdir()

@@ -214,3 +214,10 @@ def test_components(spark):
     got = {r.node: r.root for r in connected(spark.createDataFrame(chain, "x long, y long"), "x", "y").collect()}
     assert got == {k: 0 for k in range(61)} | {100: 100, 200: 100, 300: 300, 301: 300, 302: 300}
     assert connected(spark.createDataFrame([], "x long, y long"), "x", "y").count() == 0
+
+
+def test_fingerprints_with_clashing_columns(spark):
+    long = " ".join(f"w{k % 977}" for k in range(100_000))
+    df = spark.createDataFrame([(1, "a b c", 5, "x"), (1, "a b c", 5, "x"), (None, long, 6, "y"), (2, None, 7, "z")], "doc_id int, text string, s0 int, component_id string")
+    got = simhash.near_components(simhash.fingerprints(df, width=3)).collect()
+    assert sorted(((r.doc_id, r.component_id) for r in got), key=repr) == sorted([(1, 1), (1, 1), (None, None), (2, 2)], key=repr)

@@ -172,3 +172,20 @@ def test_pieces():
     assert packing.pieces(10, 10) == [(0, 10)]
     assert packing.pieces(23, 10) == [(0, 3), (3, 10), (13, 10)]
     assert packing.pieces(20, 10) == [(0, 10), (10, 10)]
+
+
+def test_packing_of_odd_rows(spark):
+    """Null and repeated ids, repeated rows, clashing columns, a very long text."""
+    rows = [(None, "a b c"), (None, None), (7, "one"), (7, "two words"), (7, "one"), (8, "word " * 30_000), (9, "")]
+    df = spark.createDataFrame([(i, t, "clash", 1) for i, t in rows], "doc_id int, text string, piece string, length int").coalesce(1)
+    got = packing.pack_documents(df, BYTES, RANKS, public_tokenizers.PATTERN).collect()
+    whole = Tokenizer.from_file(BYTES)
+    sizes = sorted(len(whole.encode(t or "", add_special_tokens=False).ids) + 1 for _, t in rows)
+    ends = sorted(r.start + r.length for r in got if r.doc_id != 8)
+    assert ends == [n for n in sizes if n < 1024] and sum(r.length for r in got if r.doc_id == 8) == sizes[-1]
+    assert sorted((r.doc_id for r in got if r.piece == 0), key=repr) == sorted((i for i, _ in rows), key=repr)
+    bins = {}
+    for r in got:
+        bins.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for parts in bins.values():
+        assert all(a + n == b for (a, n), (b, _) in zip(sorted(parts), sorted(parts)[1:], strict=False)) and sum(n for _, n in parts) <= 1024
