@@ -158,3 +158,43 @@ def test_knowledge_base(spark):
         Broken().get_document("1")
     except RuntimeError as error:
         assert str(knowledge.root_cause(error)) == "inside"
+
+
+def workbook(sheet, strings="", styles=""):
+    raw = io.BytesIO()
+    with zipfile.ZipFile(raw, "w") as pack:
+        pack.writestr("xl/workbook.xml", '<workbook xmlns:r="r"><sheets><sheet name="S" r:id="r1"/></sheets></workbook>')
+        pack.writestr("xl/_rels/workbook.xml.rels", '<Relationships><Relationship Id="r1" Target="worksheets/sheet1.xml"/></Relationships>')
+        pack.writestr("xl/worksheets/sheet1.xml", f"<worksheet><sheetData>{sheet}</sheetData></worksheet>")
+        pack.writestr("xl/sharedStrings.xml", f"<sst>{strings}</sst>")
+        pack.writestr("xl/styles.xml", styles or "<styleSheet/>")
+    return raw.getvalue()
+
+
+def test_typed_cells_and_readings():
+    strings = "<si><t>h1</t></si><si><t>h2</t></si><si><r><t>山</t></r><r><t>田</t></r><rPh sb='0' eb='2'><t>ヤマダ</t></rPh></si>"
+    styles = "<styleSheet><numFmts><numFmt numFmtId='164' formatCode='yyyy&quot;年&quot;m'/><numFmt numFmtId='165' formatCode='0.0&quot;days&quot;'/></numFmts><cellXfs><xf numFmtId='0'/><xf numFmtId='14'/><xf numFmtId='164'/><xf numFmtId='165'/></cellXfs></styleSheet>"
+    rows = "<row><c r='A1' t='s'><v>0</v></c><c r='B1' t='s'><v>1</v></c></row><row><c r='A2' t='s'><v>2</v></c><c r='B2' s='1'><v>45292</v></c></row><row><c r='A3' t='b'><v>1</v></c><c r='B3' s='2'><v>45292.5</v></c></row><row><c r='A4' t='b'><v>0</v></c><c r='B4' s='3'><v>2.5</v></c></row><row><c r='A5' t='inlineStr'><is><t>x</t><rPh><t>y</t></rPh></is></c><c r='B5' t='str'><v>f</v></c></row>"
+    table = loaders.parse_xlsx(workbook(rows, strings, styles))[0][1]
+    assert [line.strip("|").split("|") for line in table.split("\n")[2:]] == [["山田", "2024-01-01 00:00:00"], ["True", "2024-01-01 12:00:00"], ["False", "2.5"], ["x", "f"]]
+
+
+def test_unreadable_files_are_rows(spark, tmp_path):
+    (tmp_path / "a.txt").write_text("fine")
+    (tmp_path / "b.xlsx").write_bytes(b"not a zip")
+    (tmp_path / "c.odd").write_text("x")
+    rows = {r.file_name: r for r in loaders.load(spark, str(tmp_path), on_error="keep").collect()}
+    assert (rows["a.txt"].text, rows["a.txt"].error) == ("fine", None)
+    assert rows["b.xlsx"].text is None and "zip" in rows["b.xlsx"].error.lower() and "no parser" in rows["c.odd"].error
+    assert [r.chunks for r in loaders.load_chunks(spark, str(tmp_path), on_error="keep").collect()] == [["fine"]]
+    with pytest.raises(Exception, match="no parser|zip"):
+        loaders.load(spark, str(tmp_path)).collect()
+    with pytest.raises(ValueError):
+        loaders.load(spark, str(tmp_path), on_error="x")
+
+
+def test_a_detector_of_encodings_is_asked_last(monkeypatch):
+    raw = b"\x81\xff\x00"
+    assert "\ufffd" in loaders.decoded(raw)
+    monkeypatch.setattr(loaders, "_detected", lambda raw: "latin-1")
+    assert loaders.decoded(raw) == raw.decode("latin-1")

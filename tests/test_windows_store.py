@@ -108,6 +108,10 @@ def test_store(spark, tmp_path):
     assert held.get("documents", content_hash="a").first().source_kind == "kb"
     held.delete("a")
     assert all(held.get(t, content_hash="a").count() == 0 for t in S.SCHEMAS) and held.read("documents").count() == 1
+    # nor in any file
+    left = b"".join(p.read_bytes() for p in tmp_path.rglob("*.parquet"))
+    assert b"text" not in left and b"file" in left
+    assert all(len(list((tmp_path / t).glob("v*"))) <= 1 for t in S.SCHEMAS)
     statuses = S.status(spark.createDataFrame([("b", "v1"), ("b2", "v1")], "content_hash string, detector_version string"), held.read("llm_detection"))
     assert sorted(tuple(r) for r in statuses.collect()) == [("b", "current"), ("b2", "none")]
 
