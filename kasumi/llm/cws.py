@@ -81,7 +81,7 @@ def neighbours(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     guests = guests.select("doc_id", "text", "key", "h", F.col("target").alias("bucket"), F.lit(True).alias("guest"))
     parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-known["size"] // PARTITION_CHARS))
     dealt = own.select("doc_id", "text", "key", "h", "bucket", F.lit(False).alias("guest")).union(guests).repartition(parts, "bucket")
-    line = Window.partitionBy("bucket").orderBy("guest", "key", "h")
+    line = Window.partitionBy("bucket").orderBy("guest", "key", "h", "doc_id")  # with the id, so that both uses have the same columns and share the shuffle
     return dealt.select("bucket", F.row_number().over(line).alias("rn"), "guest", "doc_id", "text", F.coalesce(F.lead("text").over(line), F.lit("")).alias("next_text"))
 
 
