@@ -3,6 +3,16 @@
 Every stage takes what the one before it kept. ``run`` writes each stage's rows to
 the shared folder and reads them back, so that a lost executor costs one stage at
 most.
+
+Nulls and edge cases, in every stage: texts of any length are read whole; an empty
+table gives an empty table; further columns of documents are left out, whatever
+their names. In the stages' order: a null text and one without a letter go, and a
+null lang teaches nothing; a document without an id is scored like any other, one
+without ratings or labels at all stays; of near copies, ties included, the row with
+the smallest id stays, rows that repeat an id with other texts are rows of their own,
+and rows without an id stay; a passage stays in the document with the smallest id,
+rows that repeat an id count as one document there; rows of any id are packed, each
+for itself, equal lengths in the order in which they come.
 """
 
 from __future__ import annotations
@@ -40,7 +50,7 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents that are near copies of each other, that with the smallest id."""
+    """Of documents whose five-word shingles are similar, directly or through others, that with the smallest id."""
     return simhash.keep_first(docs.select(*COLUMNS), **NEAR)
 
 
