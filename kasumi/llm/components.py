@@ -3,8 +3,10 @@
 Every round points the larger neighbours of a node at the smallest one it knows
 of, then a node's smaller neighbours and itself at theirs; the number of rounds
 grows with the logarithm of the longest path. Links stay in tables: the driver
-sees a count and a checksum of each round, and checkpoint() in the shared folder
-cuts the lineage.
+sees a count and a checksum of each round. Every round is written to the shared
+folder and read again, which cuts the lineage; the table before it is removed.
+
+Nulls and edge cases: ``connected`` says them.
 """
 
 from __future__ import annotations
@@ -12,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kasumi.llm.common import checkpoint_dir
+from kasumi.llm.common import remove, shared_path
 
 
 def _state(links: DataFrame) -> tuple:
@@ -24,9 +26,14 @@ def connected(links: DataFrame, left: str, right: str) -> DataFrame:
 
     Links with a null end and of a node with itself say nothing and are left out; repeated links count once; without links there are no rows.
     """
-    checkpoint_dir(links.sparkSession)
+    spark, path = links.sparkSession, shared_path(links.sparkSession, "links")
+
+    def kept(rows: DataFrame, number: int) -> DataFrame:
+        rows.write.parquet(f"{path}/{number}")
+        return spark.read.parquet(f"{path}/{number}")
+
     a, b = F.col(left), F.col(right)
-    edges = links.where(a != b).select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).distinct().checkpoint()
+    edges, number = kept(links.where(a != b).select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).distinct(), 0), 0
     state = _state(edges)
     while state[0]:
         both = edges.union(edges.select("b", "a")).toDF("u", "v")
@@ -34,8 +41,10 @@ def connected(links: DataFrame, left: str, right: str) -> DataFrame:
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         pointed = large.join(least, "a")
-        edges = least.toDF("a", "b").union(pointed.where("b > m").select(F.col("b").alias("a"), F.col("m").alias("b"))).distinct().checkpoint()
+        edges = kept(least.toDF("a", "b").union(pointed.where("b > m").select(F.col("b").alias("a"), F.col("m").alias("b"))).distinct(), number + 1)
         before, state = state, _state(edges)
+        remove(spark, f"{path}/{number}")
+        number += 1
         if before == state:
             break
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).union(edges.select("b", "b").distinct())
