@@ -7,8 +7,10 @@ cut again by the rest of the ladder. Markdown is cut at headings first.
 
 from __future__ import annotations
 
+import functools
 import re
 from collections.abc import Callable
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -30,6 +32,28 @@ MARKDOWN = ("md", "docx")
 HEADING = re.compile(r"(#{1,9})(?: (.*))?")
 
 
+@functools.cache
+def _encoding(ranks_path: str, pattern: str):
+    import base64
+    from pathlib import Path
+
+    import tiktoken
+
+    ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, Path(ranks_path).read_bytes().splitlines())}
+    return tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+
+
+@dataclass(frozen=True)
+class TokenLength:
+    """A length for splitters: the number of tokens by a byte-level vocabulary's file of ranks, loaded once in each process."""
+
+    ranks_path: str
+    pattern: str
+
+    def __call__(self, text: str) -> int:
+        return len(_encoding(self.ranks_path, self.pattern).encode_ordinary(text))
+
+
 def settings(kind: str) -> tuple[int, int]:
     """(chunk size, overlap) of a type of file."""
     return V.CHUNKING.get(kind, V.CHUNKING["default"])

@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from kasumi import values as V
 from kasumi.operators.spans import let, outermost, starts_of
@@ -53,13 +54,16 @@ def windows(docs: DataFrame, *, key: str = "doc_id", text: str = "text", most: i
 
 
 def batches(docs: DataFrame, *, key: str = "doc_id", text: str = "text", order: str = "ord", most: int = V.BATCH_CHARS) -> DataFrame:
-    """The rows of each key numbered by batch: in order, as many as have at most ``most`` characters; a longer one alone."""
-    fields = [c for c in docs.columns if c not in (key, order)]
-    held = docs.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(order, *fields))).alias("rows"))
-    segs = F.transform("rows", lambda r: F.struct(F.lit(0).alias("start"), F.lit(0).alias("end"), F.length(r[text]).alias("n")))
-    runs = held.select(key, "rows", F.posexplode(packed(segs, most)).alias("batch", "w"))
-    rows = runs.select(key, "batch", F.explode(F.slice("rows", F.col("w.first") + 1, F.col("w.last") - F.col("w.first") + 1)).alias("r"))
-    return rows.select(key, "batch", F.col(f"r.{order}").alias(order), *(F.col(f"r.{c}").alias(c) for c in fields))
+    """The rows of each key numbered by batch: in order, as many as have at most ``most`` characters; a longer one alone.
+
+    Only lengths of a key's rows come together in one row, its texts don't.
+    """
+    numbered = docs.withColumn("__k", F.row_number().over(Window.partitionBy(key).orderBy(order, text)))
+    held = numbered.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("__k", F.coalesce(F.length(text), F.lit(0)).alias("n")))).alias("rows"))
+    segs = F.transform("rows", lambda r: F.struct(F.lit(0).alias("start"), F.lit(0).alias("end"), r["n"].alias("n")))
+    runs = held.select(key, F.posexplode(packed(segs, most)).alias("batch", "w"))
+    places = runs.select(F.col(key).alias("__key"), "batch", F.explode(F.sequence(F.col("w.first") + 1, F.col("w.last") + 1)).alias("__at"))
+    return numbered.join(places, (F.col(key) == F.col("__key")) & (F.col("__k") == F.col("__at"))).select(key, "batch", *(c for c in docs.columns if c != key))
 
 
 class RateLimited(Exception):

@@ -160,6 +160,15 @@ def test_knowledge_base(spark):
         assert str(knowledge.root_cause(error)) == "inside"
 
 
+def test_lengths_in_tokens(spark):
+    tokenizers = pytest.importorskip("public_tokenizers")
+    length = C.TokenLength(tokenizers.path("byte_bpe_50k.tiktoken"), tokenizers.PATTERN)
+    assert length("hello world") == 2 and length("") == 0
+    text = ". ".join("word " * 30 for _ in range(60))
+    by_tokens = [r.chunk for r in C.chunks(spark.createDataFrame([(1, text, "txt")], "doc_id long, text string, file_type string"), length=length).collect()]
+    assert 1 < len(by_tokens) < len(C.split_by_kind(text, "txt")) and all(length(x) <= 1000 for x in by_tokens)
+
+
 def workbook(sheet, strings="", styles=""):
     raw = io.BytesIO()
     with zipfile.ZipFile(raw, "w") as pack:
