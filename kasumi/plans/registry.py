@@ -421,7 +421,7 @@ PADDED_SQL = twice(twice(twice("flat", f"({CLOSE_SQL})({OPEN_SQL})", chr(92) + "
 parted as (select *, list_filter(list_transform(string_split(line, '|'), lambda c: trim(c, chr(32) || chr(9) || chr(13))), lambda c: c <> '') as cells from lines),
 flattened as (select doc_id, i, line, case when not contains(line, '|') then line when len(cells) = 0 or len(list_filter(cells, lambda c: not regexp_full_match(c, ':?-+:?'))) = 0 then '' else array_to_string(cells, '{V.CELL_JOINER}') || '{V.ROW_END}' end as flat from parted),
 padded as (select doc_id, i, line, {PADDED_SQL} as text from flattened),
-kept as (select * from padded where regexp_matches(text, '\S'))
+kept as (select * from padded where regexp_matches(text, '\\S'))
 select d.doc_id, coalesce(string_agg(k.text, chr(10) || chr(10) order by k.i), '') as text, coalesce(string_agg(k.line, chr(10) || chr(10) order by k.i), '') as original_text from documents d left join kept k using (doc_id) group by d.doc_id""")
 def prepared_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Prepared bodies of documents, a chunk for each line, beside the originals that offsets lead back to."""
