@@ -27,8 +27,8 @@ from kasumi.operators.spans import leftmost_longest
 BROADCAST_TERMS = 200_000
 #: Words of Latin letters and digits, runs of one Japanese script, other characters alone.
 TOKEN = r"[A-Za-z0-9À-ÖØ-öø-ɏ]+|[ぁ-ゖ]+|[ァ-ヺー]+|[㐀-䶿一-鿿]+|\S"
-#: Distinct tokens of which a task remembers what they hold.
-REMEMBERED = 50_000
+#: Distinct tokens of which a task remembers what they hold, and documents it looks through before it hands over what it found.
+REMEMBERED, AT_ONCE = 50_000, 100
 
 
 @dataclass(frozen=True)
@@ -150,15 +150,17 @@ def _scan(tokenized_docs: DataFrame, key: str, find: Callable[[str, list[int], l
     kind = tokenized_docs.schema[key].dataType.simpleString()
 
     def scanned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            docs, rows = [], []
-            more = batch.column(4).to_pylist() if extra else [None] * batch.num_rows
-            for doc, text, starts, ends, own in zip(*(c.to_pylist() for c in batch.columns[:4]), more, strict=True):
-                found = list(find(text or "", starts, ends, own))
-                rows += found
-                docs += [doc] * len(found)
-            columns = [pa.array(docs, batch.schema.field(0).type), *(pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int32(), pa.int32(), pa.string(), pa.string())))]
-            yield pa.RecordBatch.from_arrays(columns, names=[key, "start", "end", "canonical", "category"])
+        for whole in batches:
+            for at in range(0, whole.num_rows, AT_ONCE):  # what is found can be several times the text
+                batch = whole.slice(at, AT_ONCE)
+                docs, rows = [], []
+                more = batch.column(4).to_pylist() if extra else [None] * batch.num_rows
+                for doc, text, starts, ends, own in zip(*(c.to_pylist() for c in batch.columns[:4]), more, strict=True):
+                    found = list(find(text or "", starts, ends, own))
+                    rows += found
+                    docs += [doc] * len(found)
+                columns = [pa.array(docs, batch.schema.field(0).type), *(pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int32(), pa.int32(), pa.string(), pa.string())))]
+                yield pa.RecordBatch.from_arrays(columns, names=[key, "start", "end", "canonical", "category"])
 
     return tokenized_docs.select(key, "text", "starts", "ends", *([extra] if extra else [])).mapInArrow(scanned, f"`{key}` {kind}, start int, end int, canonical string, category string")
 

@@ -38,6 +38,12 @@ class Analysis:
     bodies: DataFrame
     tokenized: DataFrame
     candidates: DataFrame
+    held: list[DataFrame] = field(default_factory=list)
+
+    def release(self) -> None:
+        """Frees what is persisted (without a checkpoint folder), once the results are written; checkpoints go by Spark's cleaner."""
+        for rows in self.held:
+            rows.unpersist()
 
 
 @dataclass
@@ -118,7 +124,8 @@ class Masking:
         candidates = consensus.demote(candidates)
         if self.allowlist:
             candidates = exclude(candidates, self.allowlist, tokens(words))
-        return Analysis(bodies, words, settled(candidates))
+        candidates = settled(candidates)
+        return Analysis(bodies, words, candidates, [bodies, words, votes, *([terms] if self.promote else []), candidates])
 
     def contact_spans(self, texts: DataFrame) -> DataFrame:
         """(doc_id, start, end, surface) of the patterns' matches; of overlapping ones the leftmost, then the longest."""

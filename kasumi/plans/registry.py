@@ -203,7 +203,6 @@ def embedded_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Marked terms inside compound tokens. Every word is made into a compound with the next one here, over the whole text."""
     compound = F.regexp_replace("text", "(?<![A-Za-z])([A-Za-z]++)(?=[^A-Za-z]++([A-Za-z]++))", "$1Foo$2")
     made = documents(spark, sf_dir).select("doc_id", compound.alias("text"))
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "100")  # compounds and their hits are several times the text
     return longs(dictionary.match_embedded(dictionary.tokenized(made), EMBEDDED))
 
 
