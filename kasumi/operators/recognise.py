@@ -3,8 +3,9 @@
 A model is a loader, called once in each task, that gives a function from a list of
 texts to their analyses. Texts go to it in batches of a bounded number of
 characters, each document piece by piece, so that neither a long document nor many
-short ones make an allocation that grows with the input. Offsets come back as those
-of the whole text.
+short ones make an allocation that grows with the input. A paragraph of more bytes
+than a tokenizer takes is cut for the model only, best between lines; texts stay as
+they are. Offsets come back as those of the whole text.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ from pyspark.sql import functions as F
 
 from kasumi import values as V
 from kasumi.functions.text import vote_category
+from kasumi.operators.prepare import placed_pieces
 
 
 @dataclass(frozen=True)
@@ -48,7 +50,7 @@ def budgeted(texts: Iterable[str], most: int = V.BATCH_CHARS) -> Iterator[list[s
         yield held
 
 
-def analysed(bodies: DataFrame, load: Load, *, key: str = "doc_id", most: int = V.BATCH_CHARS) -> DataFrame:
+def analysed(bodies: DataFrame, load: Load, *, key: str = "doc_id", most: int = V.BATCH_CHARS, longest: int = V.PIECE_BYTES) -> DataFrame:
     """(key, i, start, end, surface, tag, unknown, label) of (key, text): a row for each token that isn't white space, ``i`` counting up, and one with a label for each entity, without an ``i``."""
     kind = bodies.schema[key].dataType.simpleString()
 
@@ -59,8 +61,7 @@ def analysed(bodies: DataFrame, load: Load, *, key: str = "doc_id", most: int =
             for row, text in enumerate(batch.column(1).to_pylist()):
                 at = 0
                 for piece in (text or "").split(V.CHUNK_JOINER):
-                    if piece.strip():
-                        pieces.append((row, at, piece))
+                    pieces += [(row, at + start, part) for start, part in placed_pieces(piece, longest) if part.strip()]
                     at += len(piece) + len(V.CHUNK_JOINER)
             found = (x for group in budgeted((p for _, _, p in pieces), most) for x in model(group))
             rows: list[tuple] = []

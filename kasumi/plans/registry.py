@@ -669,11 +669,14 @@ def readable_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"with {contacts_put_sql('{}', 'p.placeholder')} select doc_id, masked as masked_text from whole")
 def expanded_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first occurrence of each contact is chosen, and every other one is found and masked with it."""
+    """The first occurrence of each contact is chosen, and every other one is found and masked with it. Blank texts, which bodies leave out, stay as they are."""
+    docs = documents(spark, sf_dir)
+    blank = F.coalesce(F.col("text").rlike(f"\\A{prepare.BLANK}*\\z"), F.lit(True))
     masking = Masking()
-    analysis = masking.analyze(chunked(documents(spark, sf_dir)))
+    analysis = masking.analyze(chunked(docs.where(~blank)))
     first = analysis.candidates.groupBy("doc_id", "surface").agg(F.min("start").alias("start"))
-    return masking.apply(analysis, analysis.candidates.join(first, ["doc_id", "surface", "start"], "left_semi")).texts
+    masked = masking.apply(analysis, analysis.candidates.join(first, ["doc_id", "surface", "start"], "left_semi")).texts
+    return masked.union(docs.where(blank).select("doc_id", F.col("text").alias("masked_text")))
 
 
 @query(f"""with {CANDIDATES_SQL}, strong as (select doc_id, {ENTITY_SQL} as key_text, category, start, "end" from candidates where confidence = '{V.STRONG}' and category not in ('{V.PLACE}', '{V.OTHER}') and not regexp_matches(surface, '[{V.SEPARATORS}]'))

@@ -45,6 +45,26 @@ def test_offsets_are_those_of_the_whole_text(spark):
     assert tokens == {"Ann": "Person", "met": None, "Bob": "Person", "zzz": None, "none": None}
 
 
+def test_long_paragraphs_are_cut_for_the_model_only(spark):
+    text = "Ann\n" * 30 + "é" * 50 + " Bob"
+    df = spark.createDataFrame([(1, text)], "doc_id int, text string")
+    plain = stand_in()
+
+    def load():
+        inner = plain()
+
+        def analyse(texts):
+            assert all(len(x.encode()) <= 40 for x in texts)
+            return inner(texts)
+
+        return analyse
+
+    found = R.tokens_of(R.analysed(df, load, longest=40)).orderBy("i").collect()
+    assert [r.i for r in found] == list(range(len(found)))
+    assert all(text[r.start : r.end] == r.surface for r in found)
+    assert [r.start for r in found if r.surface == "Ann"] == list(range(0, 120, 4)) and found[-1].surface == "Bob"
+
+
 def test_tags_vote(spark):
     df = chunked(spark.createDataFrame([(1, "then Ann came")], "doc_id long, text string"))
     load = stand_in()

@@ -31,6 +31,18 @@ def test_query(spark, sql, name):
         assert len(got)
 
 
+#: Texts of more bytes than a tokenizer takes at once: many lines, and a long line, with contacts in front and behind; without words; none.
+LONG = ["a@b.cd\n" + "line | of (words)\n" * 3_000 + "then c@d.ef, (a@b.cd) and a@b.cd", "a@b.cd " + "é(x)" * 20_000 + " c@d.ef | a@b.cd", "\n" * 50_000 + "a@b.cd", " \n ", "", None, "short (a@b.cd)"]
+
+
+@pytest.mark.parametrize("name", ["expanded_masks"])
+def test_long_texts(spark, name, tmp_path):
+    held = pytest.importorskip("duckdb").connect()
+    spark.createDataFrame(list(enumerate(LONG)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    held.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    assert rows(registry.QUERIES[name](spark, str(tmp_path)).toPandas()) == rows(held.execute(registry.ORACLES[name]).df())
+
+
 def test_entry(spark):
     import __spark_entry__
 
