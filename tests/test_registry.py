@@ -35,7 +35,7 @@ def test_query(spark, sql, name):
 LONG = ["a@b.cd\n" + "line | of (words)\n" * 3_000 + "then c@d.ef, (a@b.cd) and a@b.cd", "a@b.cd " + "é(x)" * 20_000 + " c@d.ef | a@b.cd", "\n" * 50_000 + "a@b.cd", " \n ", "", None, "short (a@b.cd)"]
 
 
-@pytest.mark.parametrize("name", ["expanded_masks", "original_spans"])
+@pytest.mark.parametrize("name", ["expanded_masks", "original_spans", "prepared_bodies"])
 def test_long_texts(spark, name, tmp_path):
     held = pytest.importorskip("duckdb").connect()
     spark.createDataFrame(list(enumerate(LONG)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
