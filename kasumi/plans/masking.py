@@ -15,7 +15,7 @@ from kasumi.operators import consensus, entities, prepare
 from kasumi.operators.allowlist import Allowlist, exclude
 from kasumi.operators.dictionary import Cut, Dictionary, cut_by_script, match, match_by_document, match_embedded, tokenized, tokens
 from kasumi.operators.recognise import Load, analysed, tag_votes, tokens_of
-from kasumi.operators.spans import leftmost_longest, mask, regex_spans, without_overlaps
+from kasumi.operators.spans import leftmost_longest, mask, without_overlaps
 
 def settled(df: DataFrame) -> DataFrame:
     """The rows computed once: in the shared checkpoint folder if there is one, else persisted. What comes after starts from a short plan."""
@@ -120,18 +120,18 @@ class Masking:
             terms = settled(consensus.promotable(candidates, extra_terms))
             again = _listed(match_by_document(words, terms), V.SESSION, V.SESSION_SUFFIX, 2)
             candidates = consensus.resolve(votes.union(again), texts)
-        candidates = consensus.with_contacts(candidates, self.contact_spans(texts))
+        candidates = consensus.with_contacts(candidates, self.contact_spans(bodies))
         candidates = consensus.demote(candidates)
         if self.allowlist:
             candidates = exclude(candidates, self.allowlist, tokens(words))
         candidates = settled(candidates)
         return Analysis(bodies, words, candidates, [bodies, words, votes, *([terms] if self.promote else []), candidates])
 
-    def contact_spans(self, texts: DataFrame) -> DataFrame:
-        """(doc_id, start, end, surface) of the patterns' matches; of overlapping ones the leftmost, then the longest."""
-        found = [regex_spans(texts, pattern, needs=needs) for pattern, needs in self.contacts]
+    def contact_spans(self, bodies: DataFrame) -> DataFrame:
+        """(doc_id, start, end, surface) of the patterns' matches, which padding doesn't cut; of overlapping ones the leftmost, then the longest."""
+        found = [prepare.body_spans(bodies, pattern, needs=needs) for pattern, needs in self.contacts]
         if not found:
-            return texts.sparkSession.createDataFrame([], f"doc_id {texts.schema['doc_id'].dataType.simpleString()}, start int, end int, surface string")
+            return bodies.sparkSession.createDataFrame([], f"doc_id {bodies.schema['doc_id'].dataType.simpleString()}, start int, end int, surface string")
         return found[0] if len(found) == 1 else leftmost_longest(reduce(DataFrame.union, found))
 
     def expanded(self, analysis: Analysis, selected: DataFrame) -> DataFrame:

@@ -731,5 +731,8 @@ def custom_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f'select doc_id, start, "end", surface from ({CONTACTS_SQL})')
 def original_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Contacts found in flattened and padded bodies, as spans of the original."""
-    bodies = Masking(flatten=True).bodies(chunked(documents(spark, sf_dir)))
-    return longs(prepare.to_original(contacts(bodies.select("doc_id", "text")), bodies))
+    docs = documents(spark, sf_dir).where(F.contains("text", F.lit("@")))  # which bodies keep
+    bodies = Masking(flatten=True).bodies(chunked(docs))
+    hits = prepare.original_hits(F.col("hits"), F.col("original_text"), F.col("offset_map"))
+    found = prepare.body_hits(bodies, V.EMAIL).select("doc_id", F.explode(hits).alias("hit"))
+    return longs(found.select("doc_id", "hit.start", "hit.end", "hit.surface"))

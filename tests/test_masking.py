@@ -80,3 +80,8 @@ def test_unmask(spark):
     _, masked = Masking().mask_documents(chunked(docs))
     assert masked.texts.first().masked_text == "[連絡先1] and [連絡先2] and [連絡先1]"
     assert unmasked(masked.texts, masked.mapping).first().text == "a@b.cd and c@d.ef and a@b.cd"
+
+
+def test_addresses_with_brackets_are_masked_whole(spark):
+    rows = chunked(spark.createDataFrame([(1, "mail a}b{c@d.ef (or {x}@y.zz) now")], "doc_id long, text string"))
+    assert Masking().mask_documents(rows)[1].texts.first().masked_text == "mail [連絡先1] (or [連絡先2]) now"

@@ -43,6 +43,19 @@ def test_long_texts(spark, name, tmp_path):
     assert rows(registry.QUERIES[name](spark, str(tmp_path)).toPandas()) == rows(held.execute(registry.ORACLES[name]).df())
 
 
+#: Addresses with brackets in and around them, by ids that are missing or occur twice.
+BRACED = [(1, "a}b{c@d.ef (x}@y.zz)\n| {u@v.ww | (p)q}r@s.tt |\n|---|\n}@k.ll"), (1, "a} b@c.dd"), (2, "f{ }g@h.ii[j{}@k.ll]"), (2, "no braces (a@b.cc)"), (None, "l}m@n.oo and a@b.cc"), (3, "{}")]
+
+
+def test_addresses_with_brackets(spark, tmp_path):
+    held = pytest.importorskip("duckdb").connect()
+    spark.createDataFrame(BRACED, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    held.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    found = [tuple(r) for r in registry.QUERIES["original_spans"](spark, str(tmp_path)).collect()]
+    assert (1, 0, 10, "a}b{c@d.ef") in found
+    assert sorted(found, key=repr) == sorted(held.execute(registry.ORACLES["original_spans"]).fetchall(), key=repr)
+
+
 def test_entry(spark):
     import __spark_entry__
 
